@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomvar.llm import decontaminate, htmltext, packing, quality, secrets, urlfilter
+from loomvar.llm import decontaminate, htmltext, packing, quality, secrets, topk, urlfilter
 from loomvar.llm.common import table
 
 
@@ -34,9 +34,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_url_filters, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_url_filters, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_best_fit_packing, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urlfilter.ORACLE_SQL}
+    return {"op3_url_filters": urlfilter.ORACLE_SQL, "op10_exact_topk": topk.ORACLE_SQL}
