@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL, MAX_WORDS = 8_000, 3_000, 20_000
+MAX_LABELLED, MAX_POOL, MAX_WORDS = 6_000, 1_500, 2_000
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.3
 HOLD = 4  # every fourth labelled row is held out for calibration
 MIN_DOCS, MIN_CHI2 = 4, 12.0

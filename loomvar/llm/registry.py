@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomvar.llm import decontaminate, htmltext, packing, quality, secrets, topk, urlfilter
+from loomvar.llm import decontaminate, htmltext, ngramjoin, packing, quality, secrets, topk, urlfilter
 from loomvar.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
@@ -39,7 +43,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_url_filters, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_best_fit_packing, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_url_filters, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_best_fit_packing, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
