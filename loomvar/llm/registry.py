@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomvar.llm import decontaminate, htmltext, ngramjoin, packing, pii, quality, secrets, topk, urlfilter
+from loomvar.llm import decontaminate, htmltext, ngramjoin, packing, pii, quality, secrets, substrings, topk, urlfilter
 from loomvar.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.cut_texts(table(spark, sf_dir, "documents")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
@@ -47,7 +51,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_url_filters, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_best_fit_packing, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_url_filters, op4_substring_dedup, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_best_fit_packing, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
