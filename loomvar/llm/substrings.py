@@ -4,17 +4,20 @@ A window is `width` consecutive words. Each window is filed under its anchor, th
 it, so that equal windows have equal anchors at equal offsets; neighbouring windows mostly share an anchor, and only anchors
 are indexed (about one in fourteen words). The windows of one anchor form a block, whose hash stands for all of them.
 
-Index (`FingerprintLog`): every batch of documents adds one immutable run, sorted by anchor hash and pre-aggregated: anchor,
-number of occurrences, least and greatest block hash. A new batch is merge-joined with the runs before it; runs are compacted
-into one when there are more than `fan_in`.
+Snapshot (`cut_texts`): one pass writes the anchors as packed runs, sorted by fingerprint within a bucket; the runs of a
+bucket are merged. An anchor that occurs once has no repeated window. If all occurrences of an anchor have one block hash,
+all windows of its blocks are repeated. The others are verified window by window: their hashes (two of 64 bit) are counted,
+with partial aggregation, and those that occur twice or more mark their words. Windows are judged on the input alone.
 
-Removal: an anchor that occurs once has no repeated window. If all occurrences of an anchor have one block hash, all windows
-of its blocks are repeated. The others are verified window by window: their hashes (two of 64 bit) are counted, with partial
-aggregation, and those that occur twice or more mark their words. Windows are judged on the input alone.
+Increments (`FingerprintLog`): every batch of documents leaves one immutable run of distinct window hashes, sorted. A new
+batch is merge-joined with the runs before it by the first hash and verified by the second; runs are compacted into one when
+there are more than `fan_in`.
 
-Spread: hot anchors and windows are aggregated before the shuffle, and joined from stored tables whose large partitions the
-adaptive planner splits; a document's positions are the only group that is gathered. A text is shuffled once to meet its
-anchors; only documents with unverified anchors are shuffled again.
+Spread: an anchor with more than HOT occurrences in a batch of texts is summed up there: only its least and greatest block
+travel, and its occurrences ask for the verdict by a join that the adaptive planner can split. So what a bucket gathers of
+one anchor is a small share of the batches, not of the rows. Windows are counted with partial aggregation. A document's
+positions are the only other group that is gathered. A text is shuffled once to meet its anchors; only documents with
+unverified anchors are shuffled again.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Nulls: a null text has no words. A null doc_id takes part. Repeated rows repeat
 all their windows. An empty table gives an empty result. Extra columns are ignored. A text shorter than a window has none.
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,7 +115,15 @@ def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     return pos, gram[pos].view(np.int64), first, last, roll(first, last + width).view(np.int64)
 
 
-ANCHOR_ROWS = "k1 long, k2 long, first int, last int, anchor long, block long"
+HOT = 64
+BATCH_WORDS, BATCH_DOCS = 2_000_000, 60_000
+NO_OWNER = 0xFFFF
+DOCS_PER_BUCKET = 16_000
+EXCHANGE = "bucket int, planes binary, block binary, first binary, extent binary, own binary, ids binary, anchor long, k1 long, k2 long, at int, upto int"
+EXCHANGE_SCHEMA = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("planes", "block", "first", "extent", "own", "ids")), ("anchor", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("upto", pa.int32())])
+#: hits: int32 triples (first window, last window, mixed); rows with an anchor: occurrences of hot anchors and their verdicts
+FOUND = "k1 long, k2 long, hits binary, anchor long, at int, upto int, mixed boolean"
+FOUND_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hits", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("upto", pa.int32()), ("mixed", pa.bool_())])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -119,62 +131,156 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("binary").alias("text"))
 
 
-def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """One row per anchor of every document."""
-
+def packed_runs(keys: list[tuple[int, int]], held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of a batch, one for each bucket, and rows of the occurrences of its hot anchors."""
+    anchor, first, last, block = (np.concatenate([h[k] for h in held]) for k in range(4))
+    own = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+    order = np.lexsort((block, anchor))
+    anchor, first, last, block, own = anchor[order], first[order], last[order], block[order], own[order]
+    start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    size = np.diff(np.append(start, len(anchor)))
+    hot = np.repeat(size > HOT, size)
+    ids = np.array(keys, np.int64).reshape(-1, 2)
+    if hot.any():
+        n = int(hot.sum())
+        empty = pa.nulls(n, pa.binary())
+        spread = (anchor[hot].astype(np.uint64) + first[hot].astype(np.uint64)) % np.uint64(buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int32)), *[empty] * 6, pa.array(anchor[hot]), pa.array(ids[own[hot], 0]), pa.array(ids[own[hot], 1]), pa.array(first[hot].astype(np.int32)), pa.array(last[hot].astype(np.int32))], schema=EXCHANGE_SCHEMA)
+        least, most = start[size > HOT], start[size > HOT] + size[size > HOT] - 1
+        both = np.concatenate((least, most))
+        keep = np.concatenate((np.flatnonzero(~hot), both))
+        own = own.copy()
+        own[both] = NO_OWNER
+        anchor, first, last, block, own = anchor[keep], first[keep], last[keep], block[keep], own[keep]
+    key = anchor.astype(np.uint64)
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((key, bucket))
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for k in range(buckets):
+        part = order[edges[k] : edges[k + 1]]
+        if not len(part):
+            continue
+        used, local = np.unique(own[part], return_inverse=True)
+        none = used == NO_OWNER
+        local = np.where(none[local], NO_OWNER, local).astype(np.uint16)
+        planes = (key[part] // np.uint64(buckets)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        rows.append({"bucket": k, "planes": np.ascontiguousarray(planes.T).tobytes(), "block": block[part].tobytes(), "first": first[part].astype(np.int32).tobytes(), "extent": (last[part] - first[part]).astype(np.uint8).tobytes(), "own": local.tobytes(), "ids": ids[used[~none]].tobytes()})
+    yield pa.RecordBatch.from_pylist(rows, EXCHANGE_SCHEMA)
+
+
+def anchor_runs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "first", "last", "anchor", "block"]
+        keys, held, words = [], [], 0
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in names]
             for k1, k2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                pos, anchor, first, last, block = anchors(word_hashes(words_of(raw.as_py())), width)
-                if len(pos):
-                    for c, x in zip(cols, (np.full(len(pos), k1), np.full(len(pos), k2), first.astype(np.int32), last.astype(np.int32), anchor, block)):
-                        c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+                h = word_hashes(words_of(raw.as_py()))
+                _, anchor, first, last, block = anchors(h, width)
+                if len(anchor):
+                    keys.append((k1, k2))
+                    held.append((anchor, first, last, block))
+                    words += len(h)
+                if words >= BATCH_WORDS or len(held) >= BATCH_DOCS:
+                    yield from packed_runs(keys, held, buckets)
+                    keys, held, words = [], [], 0
+        if held:
+            yield from packed_runs(keys, held, buckets)
+
+    return keyed(docs).select("k1", "k2", "text").mapInArrow(run, EXCHANGE)
+
 
-    return keyed(docs).select("k1", "k2", "text").mapInArrow(run, ANCHOR_ROWS)
+def merged_runs(runs: DataFrame, buckets: int) -> DataFrame:
+    """FOUND rows: windows of repeated anchors by document, hot occurrences as they are, verdicts on hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            is_run = pa.compute.is_valid(batch.column("planes"))
+            loose = batch.filter(pa.compute.invert(is_run))
+            if loose.num_rows:
+                yield pa.RecordBatch.from_arrays([loose.column("k1"), loose.column("k2"), pa.nulls(loose.num_rows, pa.binary()), loose.column("anchor"), loose.column("at"), loose.column("upto"), pa.nulls(loose.num_rows, pa.bool_())], schema=FOUND_SCHEMA)
+            for r in batch.filter(is_run).select(["bucket", "planes", "block", "first", "extent", "own", "ids"]).to_pylist():
+                n = len(r["own"]) // 2
+                key = np.frombuffer(r["planes"], np.uint8).reshape(8, n).T.copy().reshape(-1).view(">u8").astype(np.uint64)
+                ids = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
+                parts.append((key, np.frombuffer(r["block"], np.int64), np.frombuffer(r["first"], np.int32), np.frombuffer(r["extent"], np.uint8), np.frombuffer(r["own"], np.uint16), ids, r["bucket"]))
+        if not parts:
+            return
+        base = np.cumsum([0] + [len(p[5]) for p in parts])
+        ids = np.concatenate([p[5] for p in parts])
+        bucket = parts[0][6]  # a partition holds one bucket
+        key, block, first, extent = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        own = np.concatenate([np.where(p[4] == NO_OWNER, -1, p[4].astype(np.int64) + b) for p, b in zip(parts, base)])
+        del parts
+        order = np.lexsort((block, key))
+        key, block, first, extent, own = key[order], block[order], first[order], extent[order], own[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        mixed = np.repeat(block[start] != block[start + size - 1], size)
+        hot = np.flatnonzero(own < 0)
+        if len(hot):
+            told, at = np.unique(key[hot], return_index=True)
+            anchor = (told * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)
+            none = pa.nulls(len(told), pa.int64())
+            short = pa.nulls(len(told), pa.int32())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(told), pa.binary()), pa.array(anchor), short, short, pa.array(mixed[hot[at]])], schema=FOUND_SCHEMA)
+        keep = np.flatnonzero(np.repeat(size > 1, size) & (own >= 0))
+        keep = keep[np.argsort(own[keep], kind="stable")]
+        triples = np.column_stack((first[keep], first[keep] + extent[keep], mixed[keep])).astype(np.int32)
+        edge = np.flatnonzero(np.concatenate(([True], own[keep][1:] != own[keep][:-1]))) if len(keep) else np.empty(0, np.int64)
+        owners = own[keep][edge] if len(keep) else edge
+        for lo in range(0, len(edge), 20_000):
+            part = range(lo, min(lo + 20_000, len(edge)))
+            blobs = [triples[edge[k] : edge[k + 1] if k + 1 < len(edge) else None].tobytes() for k in part]
+            who = ids[owners[lo : lo + len(blobs)]]
+            none, short = pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(blobs, pa.binary()), none, short, short, pa.nulls(len(blobs), pa.bool_())], schema=FOUND_SCHEMA)
+
+    return runs.repartitionById(buckets, F.col("bucket")).mapInArrow(run, FOUND)
 
 
 class FingerprintLog:
-    """Sorted immutable runs of anchor fingerprints in the shared folder: anchor, n, low, high."""
+    """Sorted immutable runs of distinct window hashes (h1, h2) in the shared folder."""
 
     def __init__(self, spark: SparkSession, width: int = WIDTH, fan_in: int = 4):
         self.spark, self.width, self.fan_in = spark, width, fan_in
         self.runs: list[DataFrame] = []
 
-    @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-
-    def add(self, anchors_: DataFrame) -> DataFrame:
-        """Append the fingerprints of a batch as a run; the anchors of the batch that earlier runs or itself have, with counts."""
-        fresh = self.merged(anchors_.select("anchor", F.lit(1).cast("long").alias("n"), F.col("block").alias("low"), F.col("block").alias("high")))
-        run = stored(fresh.sortWithinPartitions("anchor"), "run")
-        found = run.where("n > 1").select("anchor", "n")
-        for old in self.runs:
-            found = found.unionByName(run.hint("merge").join(old.select("anchor", F.col("n").alias("before")), "anchor").select("anchor", (F.col("n") + F.col("before")).alias("n")))
+    def windows(self, docs: DataFrame) -> DataFrame:
+        """doc_id, k1, k2, at, h1, h2 of every window."""
+        width = self.width
+        schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc_id, k1, k2, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                    h = word_hashes(words_of(raw.as_py()))
+                    at = np.arange(max(len(h) - width + 1, 0))
+                    full = lambda x: pa.array(np.full(len(at), x or 0), pa.int64(), mask=np.full(len(at), x is None))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([full(doc_id), full(k1), full(k2), pa.array(at, pa.int32()), *(pa.array(Rolling(h, b)(at, at + width).view(np.int64)) for b in BASES)], schema=schema)
+
+        return keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, at int, h1 long, h2 long")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Append a batch; (doc_id, k1, k2, at) of its windows that an earlier batch has, or that occur in it twice."""
+        windows = stored(self.windows(docs), "windows")
+        run = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).sortWithinPartitions("h1"), "run")
+        old = [run.hint("merge").join(r.select("h1", F.col("h2").alias("also")), "h1").where("h2 = also").select("h1", "h2") for r in self.runs]
+        again = run.where("n > 1").select("h1", "h2")
+        for x in old:
+            again = again.unionByName(x)
+        again = stored(again.distinct(), "repeated")
         self.runs.append(run)
         if len(self.runs) > self.fan_in:
             self.compact()
-        return found.groupBy("anchor").agg(F.max("n").alias("n"))
+        return windows.join(again, ["h1", "h2"]).select("doc_id", "k1", "k2", "at")
 
     def compact(self) -> None:
         """Merge all runs into one."""
         whole = self.runs[0]
         for r in self.runs[1:]:
             whole = whole.unionByName(r)
-        self.runs = [stored(self.merged(whole).sortWithinPartitions("anchor"), "run")]
-
-    def repeated(self) -> DataFrame:
-        """(anchor, mixed) of all anchors that occur more than once; mixed: in blocks that differ."""
-        whole = self.runs[0]
-        for r in self.runs[1:]:
-            whole = whole.unionByName(r)
-        if len(self.runs) > 1:
-            whole = self.merged(whole)
-        return whole.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+        self.runs = [stored(whole.groupBy("h1", "h2").agg(F.sum("n").alias("n")).sortWithinPartitions("h1"), "run")]
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
@@ -188,25 +294,27 @@ def covered(n: int, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarr
 PASS = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string, text binary, done_first array<int>, done_last array<int>, at array<int>, h1 array<long>, h2 array<long>"
 
 
-def cut_texts(docs: DataFrame, width: int = WIDTH, batches: int = 1) -> DataFrame:
+def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, k1, k2, n_words, n_removed, kept (the words left, joined by one space) of every document."""
-    log = FingerprintLog(docs.sparkSession, width)
-    rows = stored(anchor_rows(docs, width), "anchors")
-    for b in range(batches):
-        log.add(rows if batches == 1 else rows.where(F.pmod("k2", F.lit(batches)) == b))
-    known = stored(log.repeated(), "repeated")
-    hits = rows.join(known, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "mixed")).alias("hits"))
+    buckets = max(8, docs.count() // DOCS_PER_BUCKET)
+    found = stored(merged_runs(anchor_runs(docs, width, buckets), buckets), "anchors")
+    verdicts = stored(found.where("anchor is not null and mixed is not null").groupBy("anchor").agg(F.max("mixed").alias("told")), "verdicts")
+    loose = found.where("anchor is not null and mixed is null").select("anchor", "k1", "k2", "at", "upto").join(verdicts, "anchor")
+    loose = loose.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "upto", "told")).alias("loose"))
+    hits = found.where("hits is not null").groupBy("k1", "k2").agg(F.collect_list("hits").alias("hits")).join(loose, ["k1", "k2"], "full_outer")
 
     def split_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish documents without mixed anchors; hash the windows of mixed anchors of the others."""
         schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("done_first", pa.list_(pa.int32())), ("done_last", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
         for batch in it:
             out = []
-            for doc_id, k1, k2, raw, found in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist()):
+            for doc_id, k1, k2, raw, found, more in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 raw = raw.as_py()
                 words = words_of(raw)
-                done = [(h["first"], h["last"]) for h in found or [] if not h["mixed"]]
-                mixed = [(h["first"], h["last"]) for h in found or [] if h["mixed"]]
+                triples = {tuple(t) for x in found or [] for t in np.frombuffer(x, np.int32).reshape(-1, 3).tolist()}
+                triples |= {(x["at"], x["upto"], int(x["told"])) for x in more or []}
+                done = sorted(t[:2] for t in triples if not t[2])
+                mixed = sorted(t[:2] for t in triples if t[2])
                 row = {"doc_id": doc_id, "k1": k1, "k2": k2, "n_words": len(words)}
                 if mixed:
                     h = word_hashes(words)
@@ -219,7 +327,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH, batches: int = 1) -> DataFram
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    both = keyed(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "hits")
+    both = keyed(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "hits", "loose")
     passed = stored(both.mapInArrow(split_pass, PASS), "split")
     final = ["doc_id", "k1", "k2", "n_words", "n_removed", "kept"]
     ready = passed.where("at is null").select(*final)
