@@ -2,10 +2,389 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
-def queries() -> dict:
-    return {}
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomvar import streaming
+from loomvar.functions import alleles, kernel
+from loomvar.functions.so_terms import IMPACT, RANK
+from loomvar.operators import annotate, intervals, regions
+from loomvar.plans import projection as pj
+from loomvar.plans import reports
+from loomvar.sources.model import GeneModel
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+KEY = ["vkey", "line"]
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+#: Longest common suffix and prefix by the same closed form, in DuckDB's dialect.
+FIT = "list_max(list_filter(range(0, least(length({r}), length({a})) + 1), lambda k: {side}({r}, k) = {side}({a}, k) AND (k = 0 OR length({r}) + length({a}) - 2 * (k - 1) > 2)))"
+NORMALIZED = f"""
+s AS (SELECT *, {FIT.format(r='ref', a='alt', side='right')} AS s FROM variants),
+t AS (SELECT *, left(ref, length(ref) - s) AS r1, left(alt, length(alt) - s) AS a1 FROM s),
+n AS (SELECT *, {FIT.format(r='r1', a='a1', side='left')} AS k FROM t)"""
+
+
+@query(pj.ctes("variants") + f", {NORMALIZED} SELECT vkey, line, pos + k AS npos, substr(r1, k + 1) AS nref, substr(a1, k + 1) AS nalt FROM n")
+def normalize_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pj.variants(spark, sf_dir).withColumn("n", alleles.normalize_variant(F.col("pos"), F.col("ref"), F.col("alt")))
+    return v.select(*KEY, F.col("n.pos").alias("npos"), F.col("n.ref").alias("nref"), F.col("n.alt").alias("nalt"))
+
+
+INFO = """CASE l_orderkey % 5 WHEN 0 THEN concat('SVTYPE=DEL;END=', CAST(l_orderkey + 100 AS VARCHAR(20))) WHEN 1 THEN concat('SVTYPE=DEL;SVLEN=-', CAST(l_partkey AS VARCHAR(20)), ',7')
+WHEN 2 THEN concat('SVLEN=', CAST(l_partkey AS VARCHAR(20)), ';SVTYPE=INS') WHEN 3 THEN 'XEND=5;AF=0.5' ELSE '.' END"""
+
+
+@query(f"""
+WITH i AS (SELECT l_orderkey AS vkey, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS pos, substr('ACGTACGT', 1, CAST(1 + l_partkey % 6 AS INT)) AS ref, {INFO} AS info FROM lineitem)
+SELECT vkey, line, CASE WHEN info LIKE '%;END=%' THEN CAST(regexp_extract(info, ';END=(\\d+)', 1) AS BIGINT) WHEN info LIKE '%SVTYPE=INS%' THEN pos
+ WHEN info LIKE '%SVLEN=%' THEN pos + abs(CAST(regexp_extract(info, 'SVLEN=(-?\\d+)', 1) AS BIGINT)) ELSE pos + greatest(length(ref) - 1, 0) END AS end_pos FROM i""")
+def compute_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pj.relation(spark, sf_dir, f"SELECT l_orderkey AS vkey, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS pos, substr('ACGTACGT', 1, CAST(1 + l_partkey % 6 AS INT)) AS ref, {INFO} AS info FROM lineitem", "lineitem")
+    return rows.select(*KEY, alleles.compute_end(F.col("pos"), F.col("ref"), F.col("info")).alias("end_pos"))
+
+
+@query(pj.ctes("variants") + " SELECT vkey, line, chrom, pos, end_pos FROM variants WHERE chrom = '3' AND pos <= 250000 AND end_pos >= 100000")
+def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pj.variants(spark, sf_dir)
+    return v.where(alleles.in_region("chr3:100,000-250,000", F.col("chrom"), F.col("pos"), F.col("end_pos"))).select(*KEY, "chrom", "pos", "end_pos")
+
+
+NEAR = "t.chrom = v.chrom AND t.start <= v.end_pos + 5000 AND t.end_pos >= CASE WHEN v.pos > 5000 THEN v.pos - 5000 ELSE 1 END"
+
+
+@query(pj.ctes("variants", "transcripts") + f" SELECT v.vkey, v.line, t.transcript_id, t.gene_id, t.biotype FROM variants v JOIN transcripts t ON {NEAR}")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = pj.transcripts(spark, sf_dir).select("chrom", "start", "end_pos", "transcript_id", "gene_id", "biotype")
+    return intervals.candidate_pairs(pj.variants(spark, sf_dir), tx).select(*KEY, "transcript_id", "gene_id", "biotype")
+
+
+@query(pj.ctes("variants", "transcripts") + f" SELECT v.chrom, t.tx_idx, CAST(count(*) AS BIGINT) AS n, CAST(sum(v.pos) AS BIGINT) AS sum_pos FROM variants v JOIN transcripts t ON {NEAR} GROUP BY v.chrom, t.tx_idx")
+def candidate_pairs_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = pj.transcripts(spark, sf_dir).select("chrom", "start", "end_pos", "tx_idx")
+    return intervals.candidate_pairs(pj.variants(spark, sf_dir), tx).groupBy("chrom", "tx_idx").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+POINTS = "SELECT DISTINCT chrom, pos, ref, alt, chrom || ':' || CAST(pos AS VARCHAR(20)) AS label FROM variants WHERE vkey % 3 = 0"
+
+
+@query(pj.ctes("variants") + f", p AS ({POINTS}) SELECT v.vkey, v.line, p.label FROM variants v LEFT JOIN p USING (chrom, pos, ref, alt)")
+def point_sa_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pj.variants(spark, sf_dir)
+    p = v.where("vkey % 3 = 0").select("chrom", "pos", "ref", "alt", F.concat_ws(":", "chrom", F.col("pos").cast("string")).alias("label")).distinct()
+    return intervals.annotate_points(v, p).select(*KEY, "label")
+
+
+@query(pj.ctes("variants", "regions") + """
+SELECT v.chrom, v.pos, v.end_pos, v.ref, v.alt, CAST(count(r.name) AS BIGINT) AS n_regions,
+ array_to_string(list_sort(list(r.name || '@' || CAST(r.start AS VARCHAR(20))) FILTER (WHERE r.name IS NOT NULL)), '&') AS names
+FROM variants v LEFT JOIN regions r ON r.chrom = v.chrom AND r.start <= v.end_pos AND r.end_pos >= v.pos GROUP BY v.chrom, v.pos, v.end_pos, v.ref, v.alt""")
+def region_sa_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = intervals.annotate_regions(pj.variants(spark, sf_dir), pj.regions(spark, sf_dir))
+    names = F.array_join(F.array_sort(F.transform("region_annotations", lambda r: F.concat_ws("@", r["name"], r["start"].cast("string")))), "&")
+    return got.select("chrom", "pos", "end_pos", "ref", "alt", F.when(F.col("region_annotations").isNull(), 0).otherwise(F.size("region_annotations")).cast("long").alias("n_regions"), names.alias("names"))
+
+
+@query(pj.ctes("variants", "regions", "transcripts") + """
+, tracks AS (SELECT chrom, start, end_pos, 'region' AS track FROM regions UNION ALL SELECT chrom, start, end_pos, 'gene' FROM transcripts)
+SELECT v.chrom, t.track, CAST(count(*) AS BIGINT) AS n FROM variants v JOIN tracks t ON t.chrom = v.chrom AND t.start <= v.end_pos AND t.end_pos >= v.pos GROUP BY v.chrom, t.track""")
+def multi_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = pj.transcripts(spark, sf_dir).select("chrom", "start", "end_pos", F.col("gene_id").alias("name"), F.lit(None).cast("double").alias("value"))
+    hits = intervals.annotate_tracks(pj.variants(spark, sf_dir), {"region": pj.regions(spark, sf_dir), "gene": genes})
+    return hits.groupBy("chrom", "track").agg(F.count("*").alias("n"))
+
+
+MASKED = pj.ctes("variants", "transcripts", "exons") + f"""
+, pairs AS (SELECT v.vkey, v.line, v.chrom, v.pos, t.tx_idx, t.start, t.end_pos AS tx_end, t.strand, t.coding, t.unit FROM variants v JOIN transcripts t ON {NEAR}),
+hit AS (SELECT p.vkey, p.line, p.tx_idx, max(CASE WHEN p.pos BETWEEN e.exon_start AND e.exon_end THEN 1 ELSE 0 END) AS in_exon,
+ max(CASE WHEN abs(p.pos - e.exon_start) <= 8 OR abs(p.pos - e.exon_end) <= 8 THEN 64 ELSE 0 END) AS edge, max(e.cds_start) AS cs, max(e.cds_end) AS ce
+ FROM pairs p JOIN exons e ON p.tx_idx = e.tx_idx GROUP BY p.vkey, p.line, p.tx_idx),
+masks AS (SELECT p.*, CAST(CASE WHEN p.pos < p.start THEN CASE WHEN strand >= 0 THEN 1 ELSE 2 END WHEN p.pos > p.tx_end THEN CASE WHEN strand >= 0 THEN 2 ELSE 1 END
+ ELSE edge + CASE WHEN in_exon = 0 THEN 4 WHEN cs = 0 THEN 8 WHEN p.pos BETWEEN cs AND ce THEN 16 ELSE 32 END END AS INT) AS mask FROM pairs p JOIN hit USING (vkey, line, tx_idx))"""
+
+
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = pj.transcripts(spark, sf_dir).select("tx_idx", "chrom", "start", "end_pos", "strand", "coding", "unit")
+    pairs = intervals.candidate_pairs(pj.variants(spark, sf_dir).select(*KEY, "chrom", "pos", "end_pos"), tx)
+    full = pj.with_exons(pairs.withColumn("start", F.col("tx_start")))
+    return full.withColumn("mask", regions.region_mask(F.col("pos"), F.col("tx_start"), F.col("tx_end"), F.col("strand"), F.col("exons"), F.col("cds_start"), F.col("cds_end")))
+
+
+@query(MASKED + " SELECT chrom, mask, CAST(count(*) AS BIGINT) AS n FROM masks GROUP BY chrom, mask")
+def region_mask_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks(spark, sf_dir).groupBy("chrom", "mask").agg(F.count("*").alias("n"))
+
+
+BITS = ", ".join(f"({b}, '{n}')" for b, n in regions.NAMES.items())
+
+
+@query(MASKED + f" SELECT name AS region, CAST(count(*) AS BIGINT) AS n FROM masks JOIN (VALUES {BITS}) AS b(bit, name) ON mask & bit <> 0 GROUP BY name")
+def region_names_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks(spark, sf_dir).select(regions.explode_mask(F.col("mask")).alias("region")).groupBy("region").agg(F.count("*").alias("n"))
+
+
+@query(pj.ctes("transcripts", "exons") + " SELECT tx_idx, chrom, exon_start, exon_end, strand, cds_start, cds_end FROM exons")
+def exon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GeneModel(pj.model_table(spark, sf_dir)).exons()
+
+
+SPLICE = pj.ctes("variants", "transcripts") + f"""
+, pairs AS (SELECT v.vkey, v.line, v.pos AS p, t.tx_idx, t.strand, t.start, t.unit FROM variants v JOIN transcripts t ON {NEAR} WHERE length(v.ref) = 1 AND length(v.alt) = 1),
+i AS (SELECT *, start + 2 * k * unit + unit AS i, start + 2 * k * unit + 2 * unit - 1 AS j FROM pairs, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks),
+d AS (SELECT *, CASE WHEN strand > 0 THEN p - i ELSE j - p END AS a, CASE WHEN strand > 0 THEN j - p ELSE p - i END AS b FROM i WHERE p BETWEEN i - 3 AND j + 3),
+f AS (SELECT *, a BETWEEN 0 AND 1 AS donor, b BETWEEN 0 AND 1 AS acceptor, a = 4 AS fifth, a IN (2, 3, 5) AS reg FROM d),
+terms AS (SELECT DISTINCT vkey, line, tx_idx, UNNEST(list_filter([CASE WHEN donor THEN 'splice_donor_variant' END, CASE WHEN acceptor THEN 'splice_acceptor_variant' END,
+ CASE WHEN fifth THEN 'splice_donor_5th_base_variant' END, CASE WHEN reg THEN 'splice_donor_region_variant' END, CASE WHEN b BETWEEN 2 AND 16 AND a >= 0 THEN 'splice_polypyrimidine_tract_variant' END,
+ CASE WHEN a >= 2 AND b >= 2 THEN 'intron_variant' END,
+ CASE WHEN NOT donor AND NOT acceptor AND NOT fifth AND NOT reg AND (a BETWEEN -3 AND -1 OR a BETWEEN 2 AND 7 OR b BETWEEN 2 AND 7 OR b BETWEEN -3 AND -1) THEN 'splice_region_variant' END], lambda x: x IS NOT NULL)) AS term FROM f)
+SELECT vkey, line, tx_idx, string_agg(term, '&' ORDER BY term) AS terms FROM terms GROUP BY vkey, line, tx_idx"""
+
+
+@query(SPLICE)
+def splice_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splice and intron terms of single-base variants, from the kernel."""
+    tx = pj.with_exons(pj.transcripts(spark, sf_dir)).select("tx_idx", "chrom", "start", "end_pos", "strand", "exons")
+    v = pj.variants(spark, sf_dir).where("length(ref) = 1 and length(alt) = 1").select(*KEY, "chrom", "pos", "end_pos")
+    pairs = intervals.candidate_pairs(v, tx).where("pos >= tx_start - 3 and pos <= tx_end + 3")
+    schema = pa.schema([("vkey", pa.int64()), ("line", pa.int64()), ("tx_idx", pa.int64()), ("terms", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                t = kernel.Transcript("", "", r["tx_start"], r["tx_end"], r["strand"], exons=[(e["start"], e["end"]) for e in r["exons"]])
+                terms = kernel.splice_terms(t, r["pos"], r["pos"])
+                if terms:
+                    out.append({"vkey": r["vkey"], "line": r["line"], "tx_idx": r["tx_idx"], "terms": "&".join(sorted(terms))})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return pairs.select(*KEY, "tx_idx", "pos", "tx_start", "tx_end", "strand", "exons").mapInArrow(run, "vkey long, line long, tx_idx long, terms string")
+
+
+def aa_sql(codon: str) -> str:
+    at = " + ".join(f"{w} * (strpos('ACGT', substr({codon}, {k}, 1)) - 1)" for k, w in ((1, 16), (2, 4), (3, 1)))
+    return f"substr('{alleles.CODONS}', CAST(1 + {at} AS INT), 1)"
+
+
+CODON_PAIRS = f"""SELECT l_orderkey AS vkey, CAST(l_linenumber AS BIGINT) AS line, concat({pj.pick('l_orderkey')}, {pj.pick('l_partkey')}, {pj.pick('l_suppkey')}) AS ref_codon,
+ concat({pj.pick('l_orderkey')}, {pj.pick('l_partkey + l_linenumber')}, {pj.pick('l_suppkey + l_orderkey % 2')}) AS alt_codon FROM lineitem"""
+
+
+@query(f"""WITH c AS ({CODON_PAIRS}), a AS (SELECT *, {aa_sql('ref_codon')} AS ref_aa, {aa_sql('alt_codon')} AS alt_aa FROM c)
+SELECT ref_aa, alt_aa, CASE WHEN ref_aa = alt_aa THEN 'synonymous' WHEN alt_aa = '*' THEN 'stop' ELSE 'missense' END AS class, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY ALL""")
+def codon_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = pj.relation(spark, sf_dir, CODON_PAIRS, "lineitem")
+    cols = [alleles.amino_acid(F.col("ref_codon")).alias("ref_aa"), alleles.amino_acid(F.col("alt_codon")).alias("alt_aa"), alleles.codon_class(F.col("ref_codon"), F.col("alt_codon")).alias("class")]
+    return c.select(*cols).groupBy("ref_aa", "alt_aa", "class").agg(F.count("*").alias("n"))
+
+
+TAGS = ["<DEL>", "<dup>", "<INV>", "<CNV>", "<CN0>", "<CN4>", "G]2:100]", "<INS>", "A", "<STR>", "<XYZ>", "<DUP:TANDEM>"]
+TAG = "CASE l_orderkey % 12 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TAGS)) + " END"
+KINDS = ["deletion", "tandem_duplication", "inversion", "copy_number_variation", "copy_number_loss", "copy_number_gain", "breakend", "insertion", None, "short_tandem_repeat", "unknown", "tandem_duplication"]
+KIND = "CASE l_orderkey % 12 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(KINDS) if t) + " END"
+
+
+@query(f"SELECT {KIND} AS kind, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def sv_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alts = pj.relation(spark, sf_dir, f"SELECT {TAG} AS alt FROM lineitem", "lineitem")
+    return alts.select(alleles.sv_type(F.col("alt")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+TERM_LIST = sorted(RANK, key=RANK.get)
+TERM_OF = "CASE {x} % 41 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TERM_LIST)) + " END"
+SO_VALUES = ", ".join(f"('{t}', '{IMPACT[t]}', {r})" for t, r in RANK.items())
+
+
+@query(f"""WITH e AS (SELECT l_orderkey AS vkey, {TERM_OF.format(x='(l_partkey + l_linenumber * 7)')} AS term FROM lineitem), s(term, impact, rank) AS (VALUES {SO_VALUES})
+SELECT vkey, min_by(term, rank) AS most_severe, min_by(impact, rank) AS impact FROM e JOIN s USING (term) GROUP BY vkey""")
+def most_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = pj.relation(spark, sf_dir, f"SELECT l_orderkey AS vkey, array({TERM_OF.format(x='(l_partkey + l_linenumber * 7)')}) AS consequence FROM lineitem", "lineitem")
+    return annotate.most_severe(e, "vkey")
+
+
+@query("""WITH g AS (SELECT o_orderkey AS vkey, [CAST(o_orderkey % 2 AS VARCHAR) || '|' || CAST(o_custkey % 3 AS VARCHAR), './.', CAST(o_custkey % 2 AS VARCHAR) || '/1'] AS gt FROM orders)
+SELECT vkey, CAST(idx AS BIGINT) AS idx, gt FROM (SELECT vkey, UNNEST(gt) AS gt, generate_subscripts(gt, 1) AS idx FROM g)""")
+def gt_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = pj.relation(spark, sf_dir, "SELECT o_orderkey AS vkey, array(o_orderkey % 2 || '|' || o_custkey % 3, './.', o_custkey % 2 || '/1') AS gt FROM orders", "orders")
+    return g.select("vkey", F.posexplode("gt").alias("k", "gt")).select("vkey", (F.col("k") + 1).cast("long").alias("idx"), "gt")
+
+
+PHASED = "SELECT chrom, pos, end_pos, ref, alt, CAST(vkey % 50 AS VARCHAR) AS sample_id, CAST(vkey % 3 AS VARCHAR) AS phase_set, CASE WHEN line % 3 = 0 THEN NULL ELSE line % 2 END AS haplotype FROM variants"
+
+
+@query(pj.ctes("variants", "transcripts") + f""", v AS ({PHASED}) SELECT sample_id, phase_set, haplotype, v.chrom, transcript_id, string_agg(CAST(v.pos AS VARCHAR) || ':' || ref || ':' || alt, ';' ORDER BY v.pos, ref, alt) AS edits
+FROM v JOIN transcripts t ON {NEAR} WHERE haplotype IS NOT NULL GROUP BY sample_id, phase_set, haplotype, v.chrom, transcript_id""")
+def haplotype_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pj.variants(spark, sf_dir)
+    phased = v.select("chrom", "pos", "end_pos", "ref", "alt", (F.col("vkey") % 50).cast("string").alias("sample_id"), (F.col("vkey") % 3).cast("string").alias("phase_set"), F.when(F.col("line") % 3 != 0, F.col("line") % 2).alias("haplotype"))
+    tx = pj.transcripts(spark, sf_dir).select("chrom", "transcript_id", "start", "end_pos")
+    keys = ["sample_id", "phase_set", "haplotype", "chrom", "transcript_id"]
+    edits = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ref", "alt"))), lambda e: F.concat_ws(":", e["pos"].cast("string"), e["ref"], e["alt"])), ";")
+    return intervals.candidate_pairs(phased.where("haplotype is not null"), tx).groupBy(*keys).agg(edits.alias("edits"))
+
+
+@query()
+def haplotype_consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phased variants on coding transcripts; tested against the single-edit kernel, as SQL has no form for it."""
+    v = pj.variants(spark, sf_dir)
+    phased = v.select("chrom", "pos", "end_pos", "ref", "alt", (F.col("vkey") % 50).cast("string").alias("sample_id"), (F.col("vkey") % 3).cast("string").alias("phase_set"), F.when(F.col("line") % 3 != 0, F.col("line") % 2).alias("haplotype"))
+    return annotate.haplotypes(phased, GeneModel(pj.model_table(spark, sf_dir)))
+
+
+@query()
+def annotate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole annotation, counted by term; tested against the kernel run pair by pair."""
+    got = annotate.annotate(pj.variants(spark, sf_dir), GeneModel(pj.model_table(spark, sf_dir)))
+    return got.select(F.explode("consequence").alias("term"), "impact").groupBy("term", "impact").agg(F.count("*").alias("n"))
+
+
+FLANKS = pj.ctes("variants", "transcripts") + f""", p AS (SELECT v.pos, t.start, t.end_pos AS tx_end, t.strand FROM variants v JOIN transcripts t ON {NEAR} WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt)
+SELECT CASE WHEN (pos < start) = (strand > 0) THEN 'upstream_gene_variant' ELSE 'downstream_gene_variant' END AS term, CAST(count(*) AS BIGINT) AS n FROM p WHERE (pos < start OR pos > tx_end) GROUP BY 1"""
+
+
+@query(FLANKS)
+def flank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upstream and downstream terms of single-base variants."""
+    v = pj.variants(spark, sf_dir).where("length(ref) = 1 and length(alt) = 1 and ref <> alt")
+    v = v.withColumn("end_pos", F.col("pos"))
+    got = annotate.annotate(v, GeneModel(pj.model_table(spark, sf_dir)), hgvs=False)
+    return got.select(F.explode("consequence").alias("term")).where("term in ('upstream_gene_variant', 'downstream_gene_variant')").groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(pj.ctes("variants") + " SELECT flag, chrom, pos, vkey, line, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY flag, chrom ORDER BY pos, vkey, line) AS rank FROM variants) WHERE rank <= 2")
+def topk_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_per_group(pj.variants(spark, sf_dir).select("flag", "chrom", "pos", *KEY), ["flag", "chrom"], ["pos", *KEY], 2)
+
+
+@query(pj.ctes("variants") + " SELECT vkey, line, CAST(count(*) OVER (PARTITION BY chrom, pos) AS BIGINT) AS n_same_key FROM variants")
+def ambiguity_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ambiguous(pj.variants(spark, sf_dir), ["chrom", "pos"]).select(*KEY, "n_same_key")
+
+
+CALLS = "SELECT l_orderkey AS vkey, CAST(l_linenumber AS BIGINT) AS line, l_returnflag AS class, {a} AS x FROM lineitem WHERE l_orderkey % {m} <> 0"
+
+
+@query(f"""WITH a AS ({CALLS.format(a='l_partkey % 7', m=11)}), b AS ({CALLS.format(a='(l_partkey + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END) % 7', m=17)}),
+j AS (SELECT CASE WHEN b.vkey IS NULL THEN 'only_left' WHEN a.vkey IS NULL THEN 'only_right' WHEN a.x IS NOT DISTINCT FROM b.x THEN 'same' ELSE 'different' END AS state, coalesce(a.class, b.class) AS class FROM a FULL JOIN b ON a.vkey = b.vkey AND a.line = b.line AND a.class = b.class)
+SELECT class, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE state = 'different') AS BIGINT) AS different, CAST(count(*) FILTER (WHERE state = 'only_left') AS BIGINT) AS only_left,
+CAST(count(*) FILTER (WHERE state = 'only_right') AS BIGINT) AS only_right, round(100.0 * count(*) FILTER (WHERE state = 'same') / nullif(count(*), 0), 4) AS pct_same FROM j GROUP BY class HAVING count(*) >= 20""")
+def concordance_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = pj.relation(spark, sf_dir, CALLS.format(a="l_partkey % 7", m=11), "lineitem")
+    b = pj.relation(spark, sf_dir, CALLS.format(a="(l_partkey + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END) % 7", m=17), "lineitem")
+    c = reports.concordance(a, b, ["vkey", "line", "class"], "x").groupBy("class")
+    when = lambda s: F.count_if(F.col("state") == s)
+    out = c.agg(F.count("*").alias("n"), when("different").alias("different"), when("only_left").alias("only_left"), when("only_right").alias("only_right"), F.round(F.lit(100.0) * when("same") / F.nullif(F.count("*"), F.lit(0)), 4).alias("pct_same"))
+    return out.where("n >= 20")
+
+
+@query(pj.ctes("variants") + """ SELECT CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'snv' WHEN length(ref) = length(alt) THEN 'mnv' WHEN length(ref) > length(alt) THEN 'deletion' ELSE 'insertion' END AS class,
+CASE WHEN length(alt) = length(ref) THEN '0' WHEN abs(length(alt) - length(ref)) = 1 THEN '1' WHEN abs(length(alt) - length(ref)) <= 3 THEN '2-3' ELSE '4+' END AS bin, CAST(count(*) AS BIGINT) AS n FROM variants GROUP BY ALL""")
+def strata_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pj.variants(spark, sf_dir)
+    return v.groupBy(reports.variant_class(F.col("ref"), F.col("alt")).alias("class"), reports.length_class(F.col("ref"), F.col("alt")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(pj.ctes("variants") + """ SELECT chrom, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE vkey < 0) AS BIGINT) AS errors, round(1 - power(0.025, 1.0 / count(*)), 9) AS upper95 FROM variants GROUP BY chrom""")
+def strata_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact upper bounds where no error was seen; other counts are tested against the binomial distribution."""
+    return reports.strata(pj.variants(spark, sf_dir), ["chrom"], F.col("vkey") < 0).withColumn("upper95", F.round("upper95", 9))
+
+
+@query(pj.ctes("variants") + " SELECT chrom, pos FROM variants WHERE flag = 'R' EXCEPT SELECT chrom, pos FROM variants WHERE flag = 'N'")
+def key_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pj.variants(spark, sf_dir)
+    return v.where("flag = 'R'").select("chrom", "pos").subtract(v.where("flag = 'N'").select("chrom", "pos"))
+
+
+@query("SELECT 'customer' AS what, c_custkey AS k, c_name AS name FROM customer UNION ALL BY NAME SELECT s_name AS name, 'supplier' AS what, s_suppkey AS k FROM supplier")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    a = read("customer").select(F.lit("customer").alias("what"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    return a.unionByName(read("supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("what"), F.col("s_suppkey").alias("k")))
+
+
+@query(pj.ctes("variants") + " SELECT vkey, line FROM variants ORDER BY md5(CAST(vkey AS VARCHAR) || ':' || CAST(line AS VARCHAR)), vkey, line LIMIT 100")
+def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.deterministic_sample(pj.variants(spark, sf_dir).select(*KEY), KEY, 100)
+
+
+@query("""SELECT o_custkey AS id, bool_or(o_orderpriority = '1-URGENT') AS urgent, bool_or(o_orderpriority = '5-LOW') AS low, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS last_f,
+max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS last_o FROM orders GROUP BY o_custkey""")
+def flag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    codes = F.collect_set("o_orderpriority")
+    last = lambda s: F.max(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey")))
+    g = o.groupBy(F.col("o_custkey").alias("id")).agg(codes.alias("codes"), last("F").alias("last_f"), last("O").alias("last_o"))
+    return g.select("id", F.array_contains("codes", "1-URGENT").alias("urgent"), F.array_contains("codes", "5-LOW").alias("low"), "last_f", "last_o")
+
+
+@query(pj.ctes("variants") + """, m AS (SELECT vkey, line, ref, substr(concat(alt, 'AAAAAA'), 1, length(ref)) AS alt FROM variants),
+b AS (SELECT vkey, line, UNNEST(range(1, length(ref) + 1)) AS i, ref, alt FROM m)
+SELECT vkey, line, CAST(i AS BIGINT) AS i, substr(ref, CAST(i AS INT), 1) AS r, substr(alt, CAST(i AS INT), 1) AS a FROM b WHERE substr(ref, CAST(i AS INT), 1) <> substr(alt, CAST(i AS INT), 1)""")
+def cross_range_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A substitution of several bases as its single-base parts."""
+    m = pj.variants(spark, sf_dir).select(*KEY, "ref", F.substr(F.concat("alt", F.lit("AAAAAA")), F.lit(1), F.length("ref")).alias("alt"))
+    b = m.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("ref"))))
+    one = lambda c: F.substr(c, F.col("i"), F.lit(1))
+    return b.select(*KEY, F.col("i").cast("long").alias("i"), one("ref").alias("r"), one("alt").alias("a")).where("r <> a")
+
+
+@query("SELECT c_custkey AS id, coalesce(CAST(count(o_orderkey) AS BIGINT), 0) AS n, coalesce(max(o_orderpriority), 'none') AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def left_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("top"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    return c.join(o, c["id"] == o["o_custkey"], "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("top", F.lit("none")).alias("top"))
+
+
+@query("""SELECT c_custkey AS id, n_name, r_name, s.s_name AS supplier FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+LEFT JOIN supplier s ON s.s_suppkey = c_custkey AND s.s_nationkey = n_nationkey WHERE r_name LIKE 'A%'""")
+def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equi-join star with a dimension filter and an optional side."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    base = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region").where("r_name like 'A%'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return base.join(read("supplier"), (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("n_nationkey")), "left").select(F.col("c_custkey").alias("id"), "n_name", "r_name", F.col("s_name").alias("supplier"))
+
+
+@query(pj.ctes("transcripts") + " SELECT transcript_id, CAST(row_number() OVER (ORDER BY chrom, start, transcript_id) - 1 AS BIGINT) AS ordinal FROM transcripts")
+def cache_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals in cache order (chrom, start, transcript_id): ranks within contigs plus the contigs' offsets."""
+    from pyspark.sql import Window
+
+    t = pj.transcripts(spark, sf_dir).select("chrom", "start", "transcript_id")
+    base = t.groupBy("chrom").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return t.join(base, "chrom").select("transcript_id", (F.row_number().over(Window.partitionBy("chrom").orderBy("start", "transcript_id")) - 1 + F.col("base")).cast("long").alias("ordinal"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return streaming.windowed_counts(e).withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k")).agg(F.count("*").alias("n"))
