@@ -29,9 +29,10 @@ def genotypes(cols):
 def sites_of(text: DataFrame) -> DataFrame:
     """SITE rows of lines in `value`; lines without a position are left out, a position that is no number is an error."""
     field = lambda k: F.get("c", F.lit(k))
+    number = lambda k, kind: F.when(~field(0).startswith("#"), field(k).cast(kind))  # noqa: E731  the planner may cast before it drops header lines
     rows = text.where("value <> '' and not startswith(value, '#')").select(F.split("value", "\t", -1).alias("c"))
     rows = rows.where(field(1).isNotNull() & ~field(1).isin("", ".", "0"))
-    rows = rows.select(field(0).alias("chrom"), field(1).cast("long").alias("pos"), field(2).alias("id"), field(3).alias("ref"), listed(field(4), ",").alias("alt"), F.when(field(5) != ".", field(5).cast("double")).alias("qual"), listed(field(6), ";").alias("filter"), F.coalesce(field(7), F.lit("")).alias("info"), genotypes(F.col("c")).alias("gt"))
+    rows = rows.select(field(0).alias("chrom"), number(1, "long").alias("pos"), field(2).alias("id"), field(3).alias("ref"), listed(field(4), ",").alias("alt"), F.when(field(5) != ".", number(5, "double")).alias("qual"), listed(field(6), ";").alias("filter"), F.coalesce(field(7), F.lit("")).alias("info"), genotypes(F.col("c")).alias("gt"))
     return rows.select("chrom", "pos", compute_end(F.col("pos"), F.col("ref"), F.col("info")).alias("end_pos"), "id", "ref", "alt", "qual", "filter", "info", "gt")
 
 
