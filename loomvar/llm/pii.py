@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import stored
+from loomvar.llm.common import few, stored
 
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
@@ -97,17 +97,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, strength) of words that reveal at least GENERALISE of an entity."""
+    n = few(docs.sparkSession)
     each = found.where(F.size("found") > 0).select("text_hash", F.explode("found").alias("s")).select("text_hash", F.col("s.entity").alias("entity"), F.col("s.near").alias("near"))
     texts = each.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_SUPPORT)
     together = each.select("text_hash", "entity", F.explode("near").alias("w")).select("text_hash", "entity", F.lower("w.word").alias("term")).distinct()
-    together = stored(together.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT), "pii-terms")
-    texts = stored(texts, "pii-entities")
-    terms = stored(together.select("term").distinct(), "pii-vocabulary")
+    together = stored(together.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT).coalesce(n), "pii-terms")
+    texts = stored(texts.coalesce(n), "pii-entities")
+    terms = stored(together.select("term").distinct().coalesce(n), "pii-vocabulary")
     if not terms.limit(1).count():
         return together.select("entity", "term", F.lit(0.0).alias("strength")).where("false")
     total = docs.count()
-    counted = word_counts(docs).join(terms, "term", "left_semi")
-    pairs = together.join(stored(counted, "pii-counts"), "term").join(texts, "entity")
+    # counted for the whole vocabulary first: a join below the aggregation would pass every occurrence of a term
+    counted = word_counts(docs).join(terms.withColumn("asked", F.lit(True)), "term").drop("asked")
+    pairs = together.join(stored(counted.coalesce(n), "pii-counts"), "term").join(texts, "entity")
     # counts of texts against counts of documents: copies of a text count once with the entity, each with the word
     ratio = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     strength = F.when(F.col("n_entity") < total, ratio / F.log(F.lit(float(total)) / F.col("n_entity"))).otherwise(0.0)
@@ -116,8 +118,9 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, spans: arrays of (kind, start, end) by kind as listed, then start; one row per document."""
-    found = stored(find(docs), "pii-found")
-    told = stored(disclosing(found, docs), "pii-disclosing")
+    n = few(docs.sparkSession)
+    found = stored(find(docs).repartition(n), "pii-found")
+    told = stored(disclosing(found, docs).coalesce(n), "pii-disclosing")
     plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     rows = found.select("doc_id", "text_hash", plain("found").cast(SPAN).alias("base"))
     each = found.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("s"), plain("found").alias("base"))
@@ -126,7 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
     free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
     hit = words.where(free).join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("strength").alias("strength"))
     added = hit.select("doc_id", "text_hash", F.struct(F.when(F.col("strength") >= REMOVE, "drop").otherwise("term").alias("kind"), "start", "end").alias("span"))
-    added = stored(added.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("added")), "pii-added")
+    added = stored(added.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("added")).coalesce(n), "pii-added")
     right = added.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     both = rows.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     return both.select("doc_id", "text_hash", "base", F.concat("base", F.coalesce(F.col("added").cast(SPAN), F.array().cast(SPAN))).alias("spans"))
@@ -156,9 +159,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with base spans masked and disclosing words generalised or removed; all columns stay, n_chars follows."""
-    spans = stored(scan(docs).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans_")).withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"}), "pii-spans")
-    both = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("hash_")), "left")
-    text = F.when(F.col("spans_").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("spans_")))
-    out = both.withColumn("text_", text)
-    cols = [F.col("text_").alias("text") if c == "text" else F.when(F.col("spans_").isNull(), docs[c]).otherwise(F.length("text_").cast("long")).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*cols)
+    spans = stored(scan(docs).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans_")).withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"}).coalesce(few(docs.sparkSession)), "pii-spans")
+    both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["id_"]) & (F.xxhash64(docs["text"]) == spans["hash_"]), "left")
+    plain = spans["spans_"].isNull()
+    text = F.when(plain, docs["text"]).otherwise(masked(docs["text"], spans["spans_"]))
+    changed = {"text": text.alias("text"), "n_chars": F.when(plain, docs["n_chars"]).otherwise(F.length(text).cast("long")).alias("n_chars")} if "n_chars" in docs.columns else {"text": text.alias("text")}
+    return both.select(*[changed.get(c, docs[c]) for c in docs.columns])
