@@ -5,7 +5,7 @@ a number as typed placeholders. Windows of WINDOW template tokens with at least
 joined with the windows of the benchmark; a match is a pair (document, item) with an alignment (document position less item
 position). Within a pair and alignment the slots must be consistent: one benchmark value stands for one document value and
 the other way round. A document is contaminated by an item if the consistent windows cover at least COVER of the item's
-windows, or RUN windows of it. Items shorter than a window are one window of their own length.
+windows, or RUN windows of it. Items shorter than a window are one window of their own length; those of fewer than MIN_TOKENS tokens are ignored.
 
 Documents are read once, where they lie; only windows whose hash the benchmark has leave the Python stage. That set of
 hashes is broadcast if it has at most MAX_HASHES entries; beyond it all windows go into the shuffled join. Items and
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import stored
+from loomvar.llm.common import stored, text_batches
 
 WINDOW, LITERALS = 8, 5
 COVER, RUN = 0.5, 6
+MIN_TOKENS = 5  # shorter items are no evidence and are ignored
 MAX_HASHES = 2_000_000
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 STOPS = frozenset(".!?:\n")
@@ -124,7 +125,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 c, tokens, kept = template(text.as_py() or "", codes)
                 size = min(WINDOW, len(c))
-                if not size:
+                if size < MIN_TOKENS:
                     continue
                 at, h = windows(c, size)
                 words = [int(x) for x in np.unique(c) if x >= FIRST]
@@ -156,7 +157,7 @@ def candidates(docs: DataFrame, hashes: np.ndarray | None, vocabulary: frozenset
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, found_type)], names=["doc_id", "text_hash", "found"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, found array<struct<hash:long,pos:long,slots:string>>").withColumn("row_id", F.monotonically_increasing_id())
 
 
@@ -212,4 +213,4 @@ def judge(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     bad = judge(docs, bench).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"]), "left_anti")

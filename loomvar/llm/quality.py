@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomvar.llm.common import text_batches
+
 MAX_LABELLED, MAX_POOL, MAX_WORDS = 6_000, 1_500, 2_000
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.3
 HOLD = 4  # every fourth labelled row is held out for calibration
@@ -68,7 +70,7 @@ def meta(lang: str | None, source: str | None, n_chars: int | None) -> list[str]
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 400) -> np.ndarray:
     """Weights of x, a constant last; full-batch Adam."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     total = weight.sum()
     for t in range(1, rounds + 1):
@@ -83,44 +85,33 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class View:
-    def __init__(self, names: list[str]):
-        self.index = {n: k for k, n in enumerate(names)}
-
-    def rows(self, sets: list) -> np.ndarray:
-        out = np.zeros((len(sets), len(self.index)), np.float32)
-        for r, names in enumerate(sets):
-            for n in names:
-                k = self.index.get(n)
-                if k is not None:
-                    out[r, k] = 1
-        return out
+def indicator(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1: which of the sorted column ids a set of ids holds."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    if len(columns):
+        for r, ids in enumerate(sets):
+            at = np.minimum(np.searchsorted(columns, ids), len(columns) - 1)
+            out[r, at[columns[at] == ids]] = 1
+    return out
 
 
-def telling_words(sets: list[set[str]], y: np.ndarray) -> list[str]:
-    """Words whose presence and the label depend on each other, by chi-square over the sample; the strongest MAX_WORDS."""
+def telling(sets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Sorted ids of words whose presence and the label depend on each other, by chi-square; the strongest MAX_WORDS."""
     n, bad = len(y), int((y == 0).sum())
-    counts: dict[str, list[int]] = {}
-    for s, good in zip(sets, y):
-        for word in s:
-            c = counts.setdefault(word, [0, 0])
-            c[int(good)] += 1
-    scored = []
-    for word, (b, g) in counts.items():
-        k = b + g
-        if k < MIN_DOCS or k == n:
-            continue
-        d = b * n - k * bad
-        chi2 = d * d * 1.0 / (k * (n - k)) * n / max(bad * (n - bad), 1) if bad < n else 0
-        if chi2 >= MIN_CHI2:
-            scored.append((-chi2, word))
-    return [w for _, w in sorted(scored)[:MAX_WORDS]]
+    count = lambda chosen: np.bincount(np.concatenate([s for s, c in zip(sets, chosen) if c] or [np.empty(0, np.int64)]), minlength=size).astype(float)
+    b, g = count(y == 0), count(y == 1)
+    k = b + g
+    d = b * n - k * bad
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.where((k >= MIN_DOCS) & (k < n), d * d * n / (k * (n - k) * max(bad * (n - bad), 1)), 0)
+    best = np.argsort(-chi2, kind="stable")[:MAX_WORDS]
+    return np.sort(best[chi2[best] >= MIN_CHI2])
 
 
 class Model:
     """Two calibrated views and their combination; plain arrays and dictionaries, so that it travels in a closure."""
 
-    def __init__(self, labelled: list[dict], pool: list[dict]):
+    def __init__(self, labelled: list[dict], pool: list[dict], vocabulary: list[str]):
         y = np.array([r["good"] for r in labelled], float)
         self.usable = len(set(y)) == 2
         if not self.usable:
@@ -128,13 +119,13 @@ class Model:
         hold = np.arange(len(y)) % HOLD == HOLD - 1
         if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
             hold = np.zeros(len(y), bool)
-        self.words = View(telling_words([r["words"] for r, h in zip(labelled, hold) if not h], y[~hold]))
+        chosen = telling([r["words"] for r, h in zip(labelled, hold) if not h], y[~hold], len(vocabulary))
         both = labelled + pool
-        shapes = np.array([r["shape"] for r in both], float)
+        shapes = np.array([r["shape"] for r in both], np.float32)
         self.mean, self.std = shapes[: len(y)].mean(0), shapes[: len(y)].std(0) + 1e-6
-        self.meta = View(sorted({m for r in labelled for m in r["meta"]}))
-        text = np.hstack([np.clip((shapes - self.mean) / self.std, -4, 4), self.words.rows([r["words"] for r in both])])
-        side = self.meta.rows([r["meta"] for r in both])
+        self.meta = {n: k for k, n in enumerate(sorted({m for r in labelled for m in r["meta"]}))}
+        text = np.hstack([np.clip((shapes - self.mean) / self.std, -4, 4), indicator([r["words"] for r in both], chosen)])
+        side = indicator([np.array(sorted(self.meta[m] for m in r["meta"] if m in self.meta), np.int64) for r in both], np.arange(len(self.meta)))
         train = np.concatenate([~hold, np.zeros(len(pool), bool)])
         held = np.concatenate([hold if hold.any() else ~hold, np.zeros(len(pool), bool)])
         gold = np.concatenate([y, np.zeros(len(pool))])
@@ -158,7 +149,7 @@ class Model:
         self.cal_text, self.cal_meta = scale
         z = np.column_stack([self.cal_text[0] * (text[held] @ w[0][:-1] + w[0][-1]) + self.cal_text[1], self.cal_meta[0] * (side[held] @ w[1][:-1] + w[1][-1]) + self.cal_meta[1]])
         self.w_both = fit_logistic(z, gold[held], np.ones(int(held.sum())))
-        self.w_word = {n: float(w[0][len(self.mean) + k]) for n, k in self.words.index.items()}
+        self.w_word = {vocabulary[j]: float(w[0][len(self.mean) + k]) for k, j in enumerate(chosen)}
         self.told = [len(x) for x in extra]
 
     @staticmethod
@@ -173,13 +164,13 @@ class Model:
         n = len(self.mean)
         z = float(np.clip((np.array(shape(text)) - self.mean) / self.std, -4, 4) @ self.w_text[:n] + self.w_text[-1])
         z += sum(self.w_word[w] for w in self.w_word.keys() & words_of(text))
-        s = float(sum(self.w_meta[self.meta.index[m]] for m in side if m in self.meta.index) + self.w_meta[-1])
+        s = float(sum(self.w_meta[self.meta[m]] for m in side if m in self.meta) + self.w_meta[-1])
         z, s = self.cal_text[0] * z + self.cal_text[1], self.cal_meta[0] * s + self.cal_meta[1]
         return float(sigmoid(z)), float(sigmoid(s)), float(sigmoid(self.w_both[0] * z + self.w_both[1] * s + self.w_both[2]))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[dict], list[dict]]:
-    """Features of the labelled rows and of the unlabelled pool."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[dict], list[dict], list[str]]:
+    """Features of the labelled rows and of the unlabelled pool, and the words that their word ids stand for."""
     spark = docs.sparkSession
     told = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
     ids = [(r["doc_id"], r["good"]) for r in told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()]
@@ -195,13 +186,17 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[dict], list[dict]]:
                 out.append({"doc_id": r["doc_id"], "good": r["good"], "words": sorted(words_of(text)), "shape": shape(text), "meta": meta(r["lang"], r["source"], r["n_chars"])})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("good", pa.int32()), ("words", pa.list_(pa.string())), ("shape", pa.list_(pa.float64())), ("meta", pa.list_(pa.string()))]))
 
-    picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "good", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    plain = text_batches(docs).select("doc_id", "text", "lang", "source", "n_chars")
+    picked = plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "good", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     got = picked.mapInArrow(run, "doc_id long, good int, words array<string>, shape array<double>, meta array<string>")
     by_id: dict[int, dict] = {}
+    words: dict[str, int] = {}
     for r in got.toLocalIterator():
-        by_id.setdefault(r["doc_id"], {"good": r["good"], "words": set(r["words"]), "shape": r["shape"], "meta": r["meta"]})
+        if r["doc_id"] not in by_id:
+            ids_ = np.array(sorted(words.setdefault(w, len(words)) for w in r["words"]), np.int64)
+            by_id[r["doc_id"]] = {"good": r["good"], "words": ids_, "shape": r["shape"], "meta": r["meta"]}
     order = [i for i, _ in ids if i in by_id]
-    return [by_id[i] for i in order], [by_id[i] for i in sorted(by_id) if by_id[i]["good"] < 0]
+    return [by_id[i] for i in order], [by_id[i] for i in sorted(by_id) if by_id[i]["good"] < 0], list(words)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,7 +209,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             cols = [pa.array([o[k] for o in out], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array([o[2] >= REJECT_BELOW for o in out], pa.bool_())], names=["doc_id", "text_hash", "p_text", "p_meta", "score", "keep"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     return rows.mapInArrow(run, SCHEMA)
 
 

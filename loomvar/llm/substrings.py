@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import stored
+from loomvar.llm.common import few, stored, text_batches
 
 WIDTH, ANCHOR = 35, 8
 POSITION_BITS = 28
@@ -128,7 +128,7 @@ FOUND_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hits", pa.bi
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k1 and k2 (a key that is never null), text as bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("binary").alias("text"))
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("binary").alias("text"))
 
 
 def packed_runs(keys: list[tuple[int, int]], held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -298,7 +298,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, k1, k2, n_words, n_removed, kept (the words left, joined by one space) of every document."""
     buckets = max(8, docs.count() // DOCS_PER_BUCKET)
     found = stored(merged_runs(anchor_runs(docs, width, buckets), buckets), "anchors")
-    verdicts = stored(found.where("anchor is not null and mixed is not null").groupBy("anchor").agg(F.max("mixed").alias("told")), "verdicts")
+    verdicts = stored(found.where("anchor is not null and mixed is not null").groupBy("anchor").agg(F.max("mixed").alias("told")).coalesce(few(docs.sparkSession)), "verdicts")
     loose = found.where("anchor is not null and mixed is null").select("anchor", "k1", "k2", "at", "upto").join(verdicts, "anchor")
     loose = loose.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "upto", "told")).alias("loose"))
     hits = found.where("hits is not null").groupBy("k1", "k2").agg(F.collect_list("hits").alias("hits")).join(loose, ["k1", "k2"], "full_outer")
