@@ -26,6 +26,29 @@ def normalize_variant(pos: Column, ref: Column, alt: Column) -> Column:
     return F.when(ref.isNotNull() & alt.isNotNull() & pos.isNotNull(), out)
 
 
+def changed(pos: Column, ref: Column, alt: Column) -> Column:
+    """struct(s, e, ref, alt): common prefix off, then common suffix; an insertion has e = s - 1."""
+    p = last_fit(F.least(F.length(ref), F.length(alt)), lambda k: F.left(ref, k) == F.left(alt, k))
+    r1, a1 = F.substr(ref, p + 1, F.length(ref)), F.substr(alt, p + 1, F.length(alt))
+    q = last_fit(F.least(F.length(r1), F.length(a1)), lambda k: F.right(r1, k) == F.right(a1, k))
+    r, a = F.substr(r1, F.lit(1), F.length(r1) - q), F.substr(a1, F.lit(1), F.length(a1) - q)
+    return F.struct((pos + p).cast("long").alias("s"), (pos + p + F.length(r) - 1).cast("long").alias("e"), r.alias("ref"), a.alias("alt"))
+
+
+def hgvs_genomic(chrom: Column, s: Column, e: Column, ref: Column, alt: Column) -> Column:
+    """The g. name of a trimmed change."""
+    at, till = s.cast("string"), e.cast("string")
+    span = F.when(s == e, at).otherwise(F.concat(at, F.lit("_"), till))
+    what = (
+        F.when(ref == "", F.concat(till, F.lit("_"), at, F.lit("ins"), alt))
+        .when(alt == "", F.concat(span, F.lit("del")))
+        .when((F.length(ref) == 1) & (F.length(alt) == 1), F.concat(at, ref, F.lit(">"), alt))
+        .when((F.length(ref) == F.length(alt)) & (ref == revcomp(alt)), F.concat(span, F.lit("inv")))
+        .otherwise(F.concat(span, F.lit("delins"), alt))
+    )
+    return F.concat(chrom, F.lit(":g."), what)
+
+
 def info_value(info: Column, key: str) -> Column:
     """The first value of an INFO key; null if the key is not there. Only whole names match."""
     hit = F.filter(F.split(info, ";"), lambda x: F.startswith(x, F.lit(f"{key}=")))

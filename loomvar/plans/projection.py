@@ -40,11 +40,16 @@ SELECT CAST(1 + o_custkey % 22 AS VARCHAR(10)) AS chrom, 1 + (o_orderkey * 4001)
 FROM orders"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a file of one row group is one task, and what is exploded or joined from it would stay there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def relation(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run one of the SELECTs over views that only this plan uses."""
     for t in tables:
-        # single-row-group files make one task; spread them before the work starts
-        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        df = spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         df.createOrReplaceTempView(t)
     return spark.sql(sql.replace("CAST(unit / 2 AS BIGINT)", "CAST(floor(unit / 2) AS BIGINT)"))
 
