@@ -257,7 +257,7 @@ def haplotype_consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def annotate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole annotation, counted by term; tested against the kernel run pair by pair."""
-    got = annotate.annotate(pj.variants(spark, sf_dir), GeneModel(pj.model_table(spark, sf_dir)))
+    got = annotate.annotate(pj.variants(spark, sf_dir), GeneModel(pj.model_table(spark, sf_dir)), hgvs=False)
     return got.select(F.explode("consequence").alias("term"), "impact").groupBy("term", "impact").agg(F.count("*").alias("n"))
 
 
