@@ -32,7 +32,8 @@ from loomvar.llm.common import text_batches
 MAX_LABELLED, MAX_POOL, MAX_WORDS = 6_000, 1_500, 2_000
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.3
 HOLD = 4  # every fourth labelled row is held out for calibration
-MIN_DOCS, MIN_CHI2 = 4, 12.0
+MIN_DOCS, MIN_CHI2, STEM = 4, 12.0, 5
+#: Of the combined, calibrated probability.
 REJECT_BELOW = 0.5
 WORD = re.compile(r"[^\W\d_]{2,}")
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,7 +61,9 @@ def shape(text: str) -> list[float]:
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """Words in lower case, and the stems of longer ones: their first STEM letters and a star."""
+    words = set(WORD.findall(text.lower()))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
 
 def meta(lang: str | None, source: str | None, n_chars: int | None) -> list[str]:
@@ -68,7 +71,7 @@ def meta(lang: str | None, source: str | None, n_chars: int | None) -> list[str]
     return [f"lang={lang}", f"source={source}", f"size={size}"]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 400) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 600) -> np.ndarray:
     """Weights of x, a constant last; full-batch Adam."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
