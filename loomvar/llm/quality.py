@@ -72,13 +72,13 @@ def meta(lang: str | None, source: str | None, n_chars: int | None) -> list[str]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 600) -> np.ndarray:
-    """Weights of x, a constant last; full-batch Adam."""
+    """Weights of x, a constant last; full-batch Adam. Products stay in the type of x: a cast matrix would cost a copy a step."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     total = weight.sum()
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) / total + decay * np.append(w[:-1], 0)
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30)))
+        g = x.T @ (weight * (p - y)).astype(x.dtype) / total + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
