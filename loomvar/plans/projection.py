@@ -1,9 +1,11 @@
 """The driver's tables as variants, transcripts and annotation tracks: integer arithmetic that Spark and DuckDB share.
 
-Each relation is one SELECT that both engines run; Spark reads the base tables as temporary views of its own session."""
+Each relation is one SELECT that both engines run."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +49,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def relation(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run one of the SELECTs over views that only this plan uses."""
-    for t in tables:
-        df = spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        df.createOrReplaceTempView(t)
-    return spark.sql(sql.replace("CAST(unit / 2 AS BIGINT)", "CAST(floor(unit / 2) AS BIGINT)"))
+    """Run one of the SELECTs over base tables, without leaving views in the session."""
+    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables}
+    named = re.sub(rf"\bFROM ({'|'.join(tables)})\b", r"FROM {\1}", sql)
+    return spark.sql(named.replace("CAST(unit / 2 AS BIGINT)", "CAST(floor(unit / 2) AS BIGINT)"), **frames)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
