@@ -35,6 +35,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CHROME_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar side footer header masthead breadcrumb breadcrumbs cookie cookies consent notice notices banner popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus respond pagination pager widget toolbar skip copyright legal".split())
+#: Of these, the ones that hold even around or on an article element; the others may name a wrapper of the whole page.
+FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments reply replies disqus respond related recommended recommendations".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_ROLES = frozenset(("main", "article"))
 SPACE = re.compile(r"\s+")
@@ -49,7 +51,7 @@ STOP_WORDS = frozenset(
     "el los las que y del se por con para una no es al lo como su más".split()
 )
 MIN_WORDS, STOP_LOW, STOP_HIGH, LINKS_MAX = 10, 0.15, 0.3, 0.5
-GOOD, BAD, OPEN = 1, 0, -1
+GOOD, BAD, OPEN, WEAK = 1, 0, -1, 2
 
 
 class Block:
@@ -63,7 +65,7 @@ class Block:
 
 
 def place(tag: str, attrs: str, inside_content: bool) -> int:
-    """BAD if the element opens page furniture, GOOD if it opens main content, OPEN if it says nothing."""
+    """BAD if the element opens page furniture, WEAK if only its names say so, GOOD if it opens main content, else OPEN."""
     if tag in CHROME_TAGS or (tag == "header" and not inside_content):
         return BAD
     role, words, hidden = "", [], False
@@ -75,8 +77,10 @@ def place(tag: str, attrs: str, inside_content: bool) -> int:
             role = value
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    if hidden or role in CHROME_ROLES or tag not in ("html", "body", "article", "main") and CHROME_WORDS.intersection(words):
+    if hidden or role in CHROME_ROLES or tag not in ("html", "body") and FIRM_WORDS.intersection(words):
         return BAD
+    if tag not in ("html", "body", "article", "main") and CHROME_WORDS.intersection(words):
+        return WEAK
     return GOOD if tag in CONTENT_TAGS or role in CONTENT_ROLES else OPEN
 
 
@@ -89,7 +93,9 @@ def blocks(page: str) -> list[Block]:
 
     def where() -> int:
         said = [w for _, w in stack if w != OPEN]
-        return BAD if BAD in said else GOOD if said else OPEN
+        if BAD in said:
+            return BAD
+        return OPEN if not said else GOOD if said[-1] == GOOD else BAD  # the innermost of the others counts
 
     def flush() -> None:
         nonlocal now
@@ -115,16 +121,13 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if m[2] else 1))
-            if m[2] or tag == "img" or not m[4]:
-                continue
-            if place(tag, m[4], False) != BAD:
-                continue
+            continue  # an inline element is text of its block, whatever its names
         if m[2]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
                 flush()
-            elif tag not in INLINE:
+            else:
                 flush()
             continue
         if tag in VOID:
@@ -135,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if not m[4].rstrip().endswith("/") or tag in ("p", "div"):
             stack.append((tag, place(tag, m[4], any(w == GOOD for _, w in stack))))
-        links = 0 if tag not in INLINE else links
+        links = 0
         flush()
     rest = page[at:]
     cut = re.search(r"<[a-zA-Z/!?]", rest)  # markup that is cut off at the end

@@ -355,6 +355,13 @@ def test_html():
     assert htmltext.main_text("<article><script>x</article>") == "" and htmltext.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_names():
+    assert htmltext.main_text('<div class="with-sidebar no-footer"><article><p>text <a class="related share">link</a> more</p></article></div>') == "text link more"
+    assert htmltext.main_text('<main><p>body</p><section class="comments"><article class="comment"><p>hi</p></article></section><div class="share-bar">Share</div></main>') == "body"
+    assert htmltext.main_text("<aside><article>other</article></aside><article>own</article>") == "own"
+    assert htmltext.main_text('<div role="alert">note</div><div id="main" role="main"><h2>Head</h2>loose <em>text</em><div hidden>x</div></div>') == "Head\nloose text"
+
+
 def test_second_pass():
     g, b, o = htmltext.GOOD, htmltext.BAD, htmltext.OPEN
     assert htmltext.second_pass([g, o, g, o, o, b, o]) == [g, g, g, g, b, b, b] and htmltext.second_pass([o, o]) == [b, b] and htmltext.second_pass([]) == []
