@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urlfilter.ORACLE_SQL, "op10_exact_topk": topk.ORACLE_SQL}
+    return {"op1_ngram_jaccard_join": ngramjoin.ORACLE_SQL, "op3_url_filters": urlfilter.ORACLE_SQL, "op4_substring_dedup": substrings.ORACLE_SQL, "op10_exact_topk": topk.ORACLE_SQL}

@@ -381,3 +381,22 @@ def brute(texts: list[str | None], width: int = WIDTH) -> list[tuple[int, int, s
         kept = [x for x, g in zip(w, gone) if not g]
         out.append((len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return out
+
+
+ORACLE_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM words)
+), twice AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WIDTH})) AS k FROM windows SEMI JOIN twice USING (h)
+), each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)
+"""

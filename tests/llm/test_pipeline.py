@@ -75,7 +75,7 @@ def test_registered(spark, name):
         import duckdb
 
         db = duckdb.connect()
-        for t in ("pages", "embeddings"):
+        for t in ("pages", "embeddings", "documents"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = db.execute(registry.oracle_sql()[name])
         cols = [c[0] for c in want.description]
