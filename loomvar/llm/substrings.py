@@ -6,8 +6,8 @@ are indexed (about one in fourteen words). The windows of one anchor form a bloc
 
 Snapshot (`cut_texts`): one pass writes the anchors as packed runs, sorted by fingerprint within a bucket; the runs of a
 bucket are merged. An anchor that occurs once has no repeated window. If all occurrences of an anchor have one block hash,
-all windows of its blocks are repeated. The others are verified window by window: their hashes (two of 64 bit) are counted,
-with partial aggregation, and those that occur twice or more mark their words. Windows are judged on the input alone.
+all windows of its blocks are repeated. The others are verified window by window: their hashes (of 64 and of 32 bit) are
+counted, with partial aggregation, and those that occur twice or more mark their words. Windows are judged on the input alone.
 
 Increments (`FingerprintLog`): every batch of documents leaves one immutable run of distinct window hashes, sorted. A new
 batch is merge-joined with the runs before it by the first hash and verified by the second; runs are compacted into one when
@@ -291,7 +291,7 @@ def covered(n: int, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarr
     return np.cumsum(edge[:n]) > 0
 
 
-PASS = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string, text binary, done_first array<int>, done_last array<int>, at array<int>, h1 array<long>, h2 array<long>"
+PASS = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string, text binary, done_first array<int>, done_last array<int>, at array<int>, h1 array<long>, h2 array<int>"
 
 
 def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -305,7 +305,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def split_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish documents without mixed anchors; hash the windows of mixed anchors of the others."""
-        schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("done_first", pa.list_(pa.int32())), ("done_last", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("done_first", pa.list_(pa.int32())), ("done_last", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))])
         for batch in it:
             out = []
             for doc_id, k1, k2, raw, found, more in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
@@ -320,7 +320,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     h = word_hashes(words)
                     at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in mixed]))
                     row |= {"text": raw, "done_first": [a for a, _ in done], "done_last": [b for _, b in done], "at": at.astype(np.int32)}
-                    row |= {name: Rolling(h, base)(at, at + width).view(np.int64) for name, base in (("h1", BASES[0]), ("h2", BASES[1]))}
+                    row |= {"h1": Rolling(h, BASES[0])(at, at + width).view(np.int64), "h2": Rolling(h, BASES[1])(at, at + width).astype(np.uint32).view(np.int32)}
                 else:
                     kept, gone = leave(words, done, width)
                     row |= {"n_removed": gone, "kept": kept}
@@ -328,14 +328,15 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     both = keyed(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "hits", "loose")
-    passed = stored(both.mapInArrow(split_pass, PASS), "split")
+    # row: a short name for a document in the exchange of windows, fixed by the table
+    passed = stored(both.mapInArrow(split_pass, PASS).withColumn("row", F.monotonically_increasing_id()), "split")
     final = ["doc_id", "k1", "k2", "n_words", "n_removed", "kept"]
     ready = passed.where("at is null").select(*final)
     open_ = passed.where("at is not null")
-    windows = open_.select("k1", "k2", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("k1", "k2", "w.at", "w.h1", "w.h2")
+    windows = open_.select("row", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("row", "w.at", "w.h1", "w.h2")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     twice = stored(twice, "windows")
-    marks = windows.join(twice, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("marks"))
+    marks = windows.join(twice, ["h1", "h2"]).groupBy("row").agg(F.collect_set("at").alias("marks"))
 
     def last_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -347,7 +348,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append({"doc_id": r["doc_id"], "k1": r["k1"], "k2": r["k2"], "n_words": len(words), "n_removed": gone, "kept": kept})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    rest = open_.select("doc_id", "k1", "k2", "text", "done_first", "done_last").join(marks, ["k1", "k2"], "left")
+    rest = open_.select("row", "doc_id", "k1", "k2", "text", "done_first", "done_last").join(marks, "row", "left").drop("row")
     rest = rest.mapInArrow(last_pass, "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string")
     return ready.unionByName(rest)
 
