@@ -31,7 +31,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id", "text_hash")
+    """The leaks: one row per contaminated document, with the items that it holds."""
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated").drop("row_id", "text_hash")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
