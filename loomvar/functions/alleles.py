@@ -26,13 +26,23 @@ def normalize_variant(pos: Column, ref: Column, alt: Column) -> Column:
     return F.when(ref.isNotNull() & alt.isNotNull() & pos.isNotNull(), out)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def changed(pos: Column, ref: Column, alt: Column) -> Column:
     """struct(s, e, ref, alt): common prefix off, then common suffix; an insertion has e = s - 1."""
-    p = last_fit(F.least(F.length(ref), F.length(alt)), lambda k: F.left(ref, k) == F.left(alt, k))
-    r1, a1 = F.substr(ref, p + 1, F.length(ref)), F.substr(alt, p + 1, F.length(alt))
-    q = last_fit(F.least(F.length(r1), F.length(a1)), lambda k: F.right(r1, k) == F.right(a1, k))
-    r, a = F.substr(r1, F.lit(1), F.length(r1) - q), F.substr(a1, F.lit(1), F.length(a1) - q)
-    return F.struct((pos + p).cast("long").alias("s"), (pos + p + F.length(r) - 1).cast("long").alias("e"), r.alias("ref"), a.alias("alt"))
+
+    def cut(p: Column) -> Column:
+        rest = F.struct(F.substr(ref, p + 1, F.length(ref)).alias("r"), F.substr(alt, p + 1, F.length(alt)).alias("a"))
+        return let(rest, lambda x: let(last_fit(F.least(F.length(x["r"]), F.length(x["a"])), lambda k: F.right(x["r"], k) == F.right(x["a"], k)), lambda q: done(p, x, q)))
+
+    def done(p: Column, x: Column, q: Column) -> Column:
+        n = F.length(x["r"]) - q
+        return F.struct((pos + p).cast("long").alias("s"), (pos + p + n - 1).cast("long").alias("e"), F.substr(x["r"], F.lit(1), n).alias("ref"), F.substr(x["a"], F.lit(1), F.length(x["a"]) - q).alias("alt"))
+
+    return let(last_fit(F.least(F.length(ref), F.length(alt)), lambda k: F.left(ref, k) == F.left(alt, k)), cut)
 
 
 def hgvs_genomic(chrom: Column, s: Column, e: Column, ref: Column, alt: Column) -> Column:
