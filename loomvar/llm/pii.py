@@ -1,13 +1,14 @@
 """Personal data: base patterns and information-theoretic sanitisation, in DataFrame functions alone.
 
-Base spans come from fixed patterns. The values they match are the protected entities. For the words near an entity's
-occurrences, corpus counts give the point-wise mutual information of word and entity; divided by the information content of
-the entity, -log p(entity), it says which share of the entity's information the word reveals. A word that stood by the same
-entity in at least MIN_SUPPORT different texts and reveals at least GENERALISE of it becomes a span of kind `term`, to be
-generalised; from REMOVE on it is a span of kind `drop`, to be removed. All counts are document counts over all texts.
-
-Plan: one pass over the texts finds spans and contexts (a small table in the shared folder); a second pass counts words with
-partial aggregation before the shuffle; the joins are on words, entities and document keys of small tables. Nothing is
+Base spans come from fixed patterns. The values they match are the protected entities. For the words of an entity's texts,
+wherever they stand, corpus counts give the point-wise mutual information of word and entity; divided by the information
+content of the entity, -log p(entity), it says which share of the entity's information the word reveals. A word that shares
+at least MIN_SUPPORT different texts with an entity and reveals at least GENERALISE of it is, at each of its occurrences in
+the texts with that entity, a span of kind `term`, to be generalised; from REMOVE on it is a span of kind `drop`, to be
+removed. Texts without the entity keep the word. All counts are document counts over all texts.
+
+Plan: one pass over the texts finds spans (a table in the shared folder, with the texts that have spans); a second pass
+counts words with partial aggregation before the shuffle; the joins are on words, entities and document keys. Nothing is
 collected. Frequent words and entities are aggregated before they are shuffled, and joined from tables that the adaptive
 planner can split.
 
@@ -34,7 +35,6 @@ PATTERNS = {
 #: What a text with a match has at least; cheaper than the pattern.
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": lambda t: t.contains("+")}
 WORD = r"\p{L}{3,}+"
-CONTEXT = 60  # characters on either side
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.95
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -73,36 +73,43 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(HINTS[kind](text), spans).otherwise(none)
 
 
+def folded(text: Column) -> Column:
+    """In lower case, code point by code point: the one letter whose lower case is longer is taken as I."""
+    return F.lower(F.translate(text, "\u0130", "I"))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.filter(F.array_distinct(F.split(folded(text), r"\P{L}++")), lambda w: F.length(w) >= 3)
+
+
+def entities_of(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda s: s["entity"]))
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, found: spans of all kinds with entity and context words, by kind as listed, then start."""
+    """doc_id, text_hash, found: spans of all kinds with entity, by kind as listed, then start; text, where there are spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text.alias("text"))
     base = base.withColumn("found", F.concat(*[spans_of(F.col("text"), k) for k in KINDS]))
-
-    def around(s):
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        before = F.transform(matches(F.substr("text", left + 1, s["start"] - left), WORD), lambda m: F.struct((m["start"] + left).alias("start"), m["word"].alias("word")))
-        after = F.transform(matches(F.substr("text", s["end"] + 1, F.lit(CONTEXT)), WORD), lambda m: F.struct((m["start"] + s["end"]).alias("start"), m["word"].alias("word")))
-        return F.concat(before, after)
-
-    near = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), around(s).alias("near")))
-    return base.select("doc_id", "text_hash", F.when(F.size("found") > 0, near).otherwise(F.array()).alias("found"))
+    return base.select("doc_id", "text_hash", "found", F.when(F.size("found") > 0, F.col("text")).alias("text"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(term, n_term): in how many documents a word is."""
-    words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"\P{L}++"))
-    return docs.where("text is not null").select(F.explode(words).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_term"))
+    return docs.where("text is not null").select(F.explode(terms_of(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, strength) of words that reveal at least GENERALISE of an entity."""
     n = few(docs.sparkSession)
-    each = found.where(F.size("found") > 0).select("text_hash", F.explode("found").alias("s")).select("text_hash", F.col("s.entity").alias("entity"), F.col("s.near").alias("near"))
-    texts = each.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_SUPPORT)
-    together = each.select("text_hash", "entity", F.explode("near").alias("w")).select("text_hash", "entity", F.lower("w.word").alias("term")).distinct()
-    together = stored(together.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT).coalesce(n), "pii-terms")
-    texts = stored(texts.coalesce(n), "pii-entities")
+    some = found.where(F.size("found") > 0)
+    each = some.select("text_hash", F.explode(entities_of(F.col("found"))).alias("entity")).distinct()
+    texts = stored(each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_SUPPORT).coalesce(n), "pii-entities")
+    # the words of a text once, however many copies it has, and only then beside its entities
+    words = some.select("text_hash", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    together = words.join(each.join(texts.select("entity"), "entity"), "text_hash").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    together = stored(together.where(F.col("n_both") >= MIN_SUPPORT), "pii-terms")
     terms = stored(together.select("term").distinct().coalesce(n), "pii-vocabulary")
     if not terms.limit(1).count():
         return together.select("entity", "term", F.lit(0.0).alias("strength")).where("false")
@@ -116,23 +123,40 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("entity", "term", "strength")
 
 
+def occurrences(text: Column, told: Column, base: Column) -> Column:
+    """Spans of the words of a text that the map `told` (word to kind) has and that overlap no base span; by kind, then start."""
+    low = folded(text)
+    found = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    pairs = F.zip_with(F.transform(F.split(low, WORD, -1), lambda x: F.length(x)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, pair):
+        start = acc["at"] + pair["gap"]
+        end = start + F.length(pair["word"])
+        kind = F.try_element_at(told, pair["word"])
+        free = ~F.exists(base, lambda s: (s["start"] < end) & (start < s["end"]))
+        # the list is copied where a span is added, not at every word
+        out = F.when(kind.isNotNull() & free, F.concat(acc["out"], F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"))))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    return F.array_sort(F.aggregate(F.slice(pairs, 1, F.size(found)), zero, step, lambda acc: acc["out"]))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, spans: arrays of (kind, start, end) by kind as listed, then start; one row per document."""
     n = few(docs.sparkSession)
-    found = stored(find(docs).repartition(n), "pii-found")
+    found = stored(find(docs), "pii-found")
     told = stored(disclosing(found, docs).coalesce(n), "pii-disclosing")
-    plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    rows = found.select("doc_id", "text_hash", plain("found").cast(SPAN).alias("base"))
-    each = found.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("s"), plain("found").alias("base"))
-    words = each.select("doc_id", "text_hash", F.col("s.entity").alias("entity"), "base", F.explode("s.near").alias("w"))
-    words = words.select("doc_id", "text_hash", "entity", "base", F.lower("w.word").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
-    free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    hit = words.where(free).join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("strength").alias("strength"))
-    added = hit.select("doc_id", "text_hash", F.struct(F.when(F.col("strength") >= REMOVE, "drop").otherwise("term").alias("kind"), "start", "end").alias("span"))
-    added = stored(added.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("added")).coalesce(n), "pii-added")
-    right = added.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-    both = rows.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
-    return both.select("doc_id", "text_hash", "base", F.concat("base", F.coalesce(F.col("added").cast(SPAN), F.array().cast(SPAN))).alias("spans"))
+    some, same = found.where(F.size("found") > 0), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    entities = some.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.explode(entities_of(F.col("found"))).alias("entity")).join(told.select("entity").distinct(), "entity").distinct()
+    words = some.select("doc_id", "text_hash", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    hit = words.join(entities, same).drop("id", "hash").join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "term").agg(F.max("strength").alias("strength"))
+    mark = F.struct("term", F.when(F.col("strength") >= REMOVE, "drop").otherwise("term").alias("kind"))
+    right = stored(hit.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.map_from_entries(F.collect_list(mark)).alias("told")), "pii-told")
+    plain = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(SPAN)
+    both = found.select("doc_id", "text_hash", "text", plain.alias("base")).join(right, same, "left")
+    added = F.when(F.col("told").isNotNull(), occurrences(F.col("text"), F.col("told"), F.col("base"))).otherwise(F.array().cast(SPAN))
+    return both.select("doc_id", "text_hash", "base", F.concat("base", added).alias("spans"))
 
 
 def joined(spans) -> Column:

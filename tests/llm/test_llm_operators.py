@@ -304,6 +304,22 @@ def test_pii_disclosing_terms(spark):
     assert "zorblax" not in clean[101] and "boss@corp" not in clean[101] and "[EMAIL]" in clean[101] and clean[3] == texts[3]
 
 
+def test_pii_terms_of_the_whole_text(spark):
+    r = random.Random(9)
+    rows = [(k, prose(25, r), "en", "s", 0) for k in range(60)]
+    rows += [(100 + k, f"Zorblax \u0130x {prose(30, r)} mail boss@corp.example {prose(30, r)} quuxly {prose(20, r)} ZORBLAX, {'unquuxly' * (k == 0)}", "en", "s", 0) for k in range(5)]
+    rows += [(200, f"{prose(30, r)} zorblax without the entity", "en", "s", 0), (100, rows[60][1], "en", "s", 0), (None, rows[60][1], "en", "s", 0)]
+    got = [(x.doc_id, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in x.spans.split(",") if s)]) for x in pii.digest(pii.scan(spark.createDataFrame(rows, DOCS))).collect()]
+    texts = {x[0]: x[1] for x in rows}
+    assert len(got) == len(rows)
+    for i, spans in got:
+        marked = sorted(texts[i][a:b] for k, a, b in spans if k in ("term", "drop"))
+        if i is None or 100 <= i < 105:
+            assert {"Zorblax", "ZORBLAX", "quuxly", "mail"} <= set(marked) and not {"unquuxly", "boss", "corp"} & set(marked), i
+        else:
+            assert not spans
+
+
 def test_pii_is_native(spark):
     plan = pii.digest(pii.scan(spark.createDataFrame([(1, "a@b.co", "", "", 1)], DOCS)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
