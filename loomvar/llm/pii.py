@@ -5,12 +5,12 @@ wherever they stand, corpus counts give the point-wise mutual information of wor
 content of the entity, -log p(entity), it says which share of the entity's information the word reveals. A word that shares
 at least MIN_SUPPORT different texts with an entity and reveals at least GENERALISE of it is, at each of its occurrences in
 the texts with that entity, a span of kind `term`, to be generalised; from REMOVE on it is a span of kind `drop`, to be
-removed. Texts without the entity keep the word. All counts are document counts over all texts.
+removed. Texts without the entity keep the word. All counts are counts of different texts.
 
 Plan: one pass over the texts finds spans (a table in the shared folder, with the texts that have spans); a second pass
-counts words with partial aggregation before the shuffle; the joins are on words, entities and document keys. Nothing is
-collected. Frequent words and entities are aggregated before they are shuffled, and joined from tables that the adaptive
-planner can split.
+counts words, for which each different text is shuffled once, with partial aggregation before every shuffle; the joins are on
+words, entities and document keys. Nothing is collected. Frequent words and entities are aggregated before they are shuffled,
+and joined from tables that the adaptive planner can split.
 
 Nulls: a null text is empty and has no spans. Repeated rows are scanned each and count once. An empty table gives an empty
 result. Extra columns are ignored.
@@ -96,8 +96,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_term): in how many documents a word is."""
-    return docs.where("text is not null").select(F.explode(terms_of(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    """(term, n_term): in how many different texts a word is."""
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).dropDuplicates(["text_hash"])
+    return texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -113,11 +114,11 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     terms = stored(together.select("term").distinct().coalesce(n), "pii-vocabulary")
     if not terms.limit(1).count():
         return together.select("entity", "term", F.lit(0.0).alias("strength")).where("false")
-    total = docs.count()
+    total = found.select("text_hash").distinct().count()
     # counted for the whole vocabulary first: a join below the aggregation would pass every occurrence of a term
     counted = word_counts(docs).join(terms.withColumn("asked", F.lit(True)), "term").drop("asked")
     pairs = together.join(stored(counted.coalesce(n), "pii-counts"), "term").join(texts, "entity")
-    # counts of texts against counts of documents: copies of a text count once with the entity, each with the word
+    # all four count different texts
     ratio = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     strength = F.when(F.col("n_entity") < total, ratio / F.log(F.lit(float(total)) / F.col("n_entity"))).otherwise(0.0)
     return pairs.withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("entity", "term", "strength")

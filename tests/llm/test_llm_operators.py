@@ -320,6 +320,15 @@ def test_pii_terms_of_the_whole_text(spark):
             assert not spans
 
 
+def test_pii_copies_count_once(spark):
+    r = random.Random(10)
+    rows = [(k, prose(25, r), "en", "s", 0) for k in range(100)]
+    copied = [f"zorblax {prose(10, r)} mail boss@corp.example {prose(10, r)}" for _ in range(3)]
+    rows += [(1000 + k, copied[k % 3], "en", "s", 0) for k in range(120)]
+    got = {x.doc_id: x.spans for x in pii.digest(pii.scan(spark.createDataFrame(rows, DOCS))).collect()}
+    assert all(("drop:0:7" in s) == (i >= 1000) for i, s in got.items())
+
+
 def test_pii_is_native(spark):
     plan = pii.digest(pii.scan(spark.createDataFrame([(1, "a@b.co", "", "", 1)], DOCS)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
