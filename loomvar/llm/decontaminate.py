@@ -5,7 +5,12 @@ a number as typed placeholders. Windows of WINDOW template tokens with at least
 joined with the windows of the benchmark; a match is a pair (document, item) with an alignment (document position less item
 position). Within a pair and alignment the slots must be consistent: one benchmark value stands for one document value and
 the other way round. A document is contaminated by an item if the consistent windows cover at least COVER of the item's
-windows, or RUN windows of it. Items shorter than a window are one window of their own length; those of fewer than MIN_TOKENS tokens are ignored.
+windows, or RUN windows of it. Items shorter than a window are one window of their own length.
+
+Windows with fewer words than that match by their values: their key is a hash of template and slot values, and they count
+beside the others, towards COVER of all windows or RUN. An item that has only such windows, and LITERALS words in all, also
+matches by the hash of its whole template, if its slots are consistent from end to end. An item of fewer than MIN_TOKENS
+tokens contaminates the documents that consist of it.
 
 Documents are read once, where they lie; only windows whose hash the benchmark has leave the Python stage. That set of
 hashes is broadcast if it has at most MAX_HASHES entries; beyond it all windows go into the shuffled join. Items and
@@ -17,6 +22,7 @@ empty result; with an empty benchmark nothing is contaminated. Extra columns are
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -30,7 +36,9 @@ from loomvar.llm.common import stored, text_batches
 
 WINDOW, LITERALS = 8, 5
 COVER, RUN = 0.5, 6
-MIN_TOKENS = 5  # shorter items are no evidence and are ignored
+MIN_TOKENS = 5  # shorter items are no evidence within a longer text, only as the whole of one
+STRONG, VALUES, WHOLE = range(3)  # what a benchmark row matches by: template, template and values, the item's whole template
+WHOLE_TAG = 0x5DEECE66D1CE4E5B
 MAX_HASHES = 2_000_000
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 STOPS = frozenset(".!?:\n")
@@ -95,19 +103,20 @@ def template(text: str, codes: Codes) -> tuple[np.ndarray, list[str], np.ndarray
     return raw[kept], tokens, kept
 
 
-def windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows without unknown words and with enough literal ones."""
+def windows(codes: np.ndarray, size: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, numbers of literal words) of the windows without unknown words and with `least` literal ones."""
     n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if n <= 0 or size <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     known = np.concatenate(([0], np.cumsum(codes >= 0)))
     words = np.concatenate(([0], np.cumsum(codes >= FIRST)))
-    at = np.flatnonzero((known[size:] - known[:-size] == size) & (words[size:] - words[:-size] >= min(LITERALS, size)))
+    literal = words[size:] - words[:-size]
+    at = np.flatnonzero((known[size:] - known[:-size] == size) & (literal >= least))
     h = np.full(len(at), size, np.uint64)
     for k in range(size):
         h = (h ^ codes[at + k].astype(np.uint64)) * PRIME
         h ^= h >> np.uint64(29)
-    return at, h.view(np.int64)
+    return at, h.view(np.int64), literal[at]
 
 
 def slots(codes: np.ndarray, tokens: list[str], kept: np.ndarray, at: int, size: int) -> str:
@@ -115,8 +124,20 @@ def slots(codes: np.ndarray, tokens: list[str], kept: np.ndarray, at: int, size:
     return json.dumps([tokens[kept[k]].lower() for k in range(at, at + size) if codes[k] < FIRST])
 
 
+def values_key(template_hash: int, values: str, alone: bool) -> int:
+    """Of a window and its slot values; of a text that is nothing else, if `alone`."""
+    return int.from_bytes(hashlib.blake2b(f"{template_hash} {int(alone)} {values}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def among(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h the ascending array has."""
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+
+
 def benchmark_windows(bench: DataFrame) -> DataFrame:
-    """item_id, n_windows, pos, size, hash, slots of all items; codes of an item's words in `words`."""
+    """item_id, n_windows, n_strong, kind, pos, size, template, hash, slots of all items; codes of an item's words in `words`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(None)
@@ -125,21 +146,31 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 c, tokens, kept = template(text.as_py() or "", codes)
                 size = min(WINDOW, len(c))
-                if size < MIN_TOKENS:
-                    continue
-                at, h = windows(c, size)
+                at, h, literal = windows(c, size)
+                strong = (literal >= min(LITERALS, size)) & (size >= MIN_TOKENS)
                 words = [int(x) for x in np.unique(c) if x >= FIRST]
-                out += [{"item_id": item, "n_windows": len(at), "item_pos": int(p), "size": size, "hash": int(x), "item_slots": slots(c, tokens, kept, int(p), size), "words": words if k == 0 else []} for k, (p, x) in enumerate(zip(at, h))]
-            schema = pa.schema([("item_id", pa.int64()), ("n_windows", pa.int64()), ("item_pos", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()), ("item_slots", pa.string()), ("words", pa.list_(pa.int64()))])
+                one = {"item_id": item, "n_windows": len(at), "n_strong": int(strong.sum()), "words": []}
+                for p, x, st in zip(at.tolist(), h.tolist(), strong.tolist()):
+                    values = slots(c, tokens, kept, p, size)
+                    out.append(one | {"kind": STRONG if st else VALUES, "item_pos": p, "size": size, "template": x, "hash": x if st else values_key(x, values, size < MIN_TOKENS), "item_slots": values, "words": words if p == 0 else []})
+                if len(at) and not strong.any() and (c >= FIRST).sum() >= LITERALS:
+                    x = int(windows(c, len(c))[1][0])
+                    out.append(one | {"kind": WHOLE, "item_pos": 0, "size": len(c), "template": x, "hash": x ^ WHOLE_TAG, "item_slots": slots(c, tokens, kept, 0, len(c))})
+            schema = pa.schema([("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_strong", pa.int64()), ("kind", pa.int32()), ("item_pos", pa.int64()), ("size", pa.int32()), ("template", pa.int64()), ("hash", pa.int64()), ("item_slots", pa.string()), ("words", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = bench.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(run, "item_id long, n_windows long, item_pos long, size int, hash long, item_slots string, words array<long>")
+    return rows.mapInArrow(run, "item_id long, n_windows long, n_strong long, kind int, item_pos long, size int, template long, hash long, item_slots string, words array<long>")
+
 
+def candidates(docs: DataFrame, hashes: np.ndarray | None, templates: list[np.ndarray], vocabulary: frozenset[int] | None, sizes: list[list[int]]) -> DataFrame:
+    """row_id, doc_id, text_hash, found: array of (hash, pos, slots); one row per document.
 
-def candidates(docs: DataFrame, hashes: np.ndarray | None, vocabulary: frozenset[int] | None, sizes: list[int]) -> DataFrame:
-    """row_id, doc_id, text_hash, found: array of (hash, pos, slots); one row per document."""
+    `templates` and `sizes` are those of each kind; without `hashes` all windows of these sizes are found.
+    """
     found_type = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64()), ("slots", pa.string())]))
+    keys = frozenset(hashes.tolist()) if hashes is not None and sizes[VALUES] else frozenset()
+    within = [sorted(k for k in sizes[STRONG] if k >= MIN_TOKENS), sorted(k for k in sizes[VALUES] if k >= MIN_TOKENS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(vocabulary)
@@ -148,12 +179,23 @@ def candidates(docs: DataFrame, hashes: np.ndarray | None, vocabulary: frozenset
             for text in batch.column(2):
                 c, tokens, kept = template(text.as_py() or "", codes)
                 found = []
-                for size in sizes:
-                    at, h = windows(c, size)
-                    if hashes is not None and len(h):
-                        near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                        at, h = at[hashes[near] == h], h[hashes[near] == h]
-                    found += [{"hash": int(x), "pos": int(p), "slots": slots(c, tokens, kept, int(p), size)} for p, x in zip(at, h)]
+                alone = [len(c)] if len(c) < MIN_TOKENS and len(c) in sizes[VALUES] else []
+                for size in sorted({*within[STRONG], *within[VALUES], *alone}):
+                    least = min(LITERALS, size) if size >= MIN_TOKENS else size + 1
+                    at, h, literal = windows(c, size, 0 if size in sizes[VALUES] else least)
+                    strong, values = literal >= least, literal < least
+                    if hashes is not None:
+                        strong, values = strong & among(templates[STRONG], h), values & among(templates[VALUES], h)
+                    found += [{"hash": x, "pos": p, "slots": slots(c, tokens, kept, p, size)} for p, x in zip(at[strong].tolist(), h[strong].tolist())]
+                    for p, x in zip(at[values].tolist(), h[values].tolist()):
+                        said = slots(c, tokens, kept, p, size)
+                        key = values_key(x, said, size < MIN_TOKENS)
+                        if hashes is None or key in keys:
+                            found.append({"hash": key, "pos": p, "slots": said})
+                for size in sizes[WHOLE]:
+                    at, h, _ = windows(c, size, LITERALS)
+                    fits = among(templates[WHOLE], h) if hashes is not None else np.ones(len(h), bool)
+                    found += [{"hash": x ^ WHOLE_TAG, "pos": p, "slots": slots(c, tokens, kept, p, size)} for p, x in zip(at[fits].tolist(), h[fits].tolist())]
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, found_type)], names=["doc_id", "text_hash", "found"])
 
@@ -161,52 +203,72 @@ def candidates(docs: DataFrame, hashes: np.ndarray | None, vocabulary: frozenset
     return rows.mapInArrow(run, "doc_id long, text_hash long, found array<struct<hash:long,pos:long,slots:string>>").withColumn("row_id", F.monotonically_increasing_id())
 
 
-def consistent(pairs: Iterator[tuple[str, str]]) -> tuple[int, bool]:
-    """(windows whose slots fit one two-way mapping, whether all of these have equal values); windows in page order."""
+def fitting(pairs: Iterator[tuple[str, str]]) -> Iterator[tuple[bool, bool]]:
+    """Of each window whether its slots fit one two-way mapping with those before that do, and have equal values."""
     there: dict[str, str] = {}
     back: dict[str, str] = {}
-    n, equal = 0, True
     for item, doc in pairs:
         if item == doc == "[]":
-            n += 1
+            yield True, True
             continue
         a, b = json.loads(item), json.loads(doc)
         if len(a) != len(b) or any(there.get(x, y) != y or back.get(y, x) != x for x, y in zip(a, b)):
+            yield False, False
             continue
         there.update(zip(a, b))
         back.update(zip(b, a))
-        n += 1
-        equal &= a == b
-    return n, equal
+        yield True, a == b
+
+
+def alone_consistent(item: str, doc: str) -> bool:
+    """Whether the slots of one window fit a two-way mapping of their own."""
+    a, b = json.loads(item), json.loads(doc)
+    return len(a) == len(b) and len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def consistent(pairs: Iterator[tuple[str, str]]) -> tuple[int, bool]:
+    """(windows whose slots fit one two-way mapping, whether all of these have equal values); windows in page order."""
+    fits = [same for fit, same in fitting(pairs) if fit]
+    return len(fits), all(fits)
 
 
 def judge(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """row_id, doc_id, text_hash, contaminated, items (sorted ids), n_windows, exact of every document."""
     bench_rows = stored(benchmark_windows(bench), "benchmark-windows")
-    size_rows = [r["size"] for r in bench_rows.select("size").distinct().collect()]  # at most WINDOW rows
+    sizes: list[list[int]] = [[], [], []]  # at most WINDOW each, but for whole items one a length
+    for r in bench_rows.select("kind", "size").distinct().collect():
+        sizes[r["kind"]].append(r["size"])
     n_hashes = bench_rows.select("hash").distinct().count()
     small = n_hashes <= MAX_HASHES
     hashes = vocabulary = None
+    templates: list[np.ndarray] = []
     if small:
-        hashes = np.sort(np.array([r["hash"] for r in bench_rows.select("hash").distinct().collect()], np.int64))
-        vocabulary = frozenset(r["w"] for r in bench_rows.select(F.explode("words").alias("w")).distinct().collect())
-    found = stored(candidates(docs, hashes, vocabulary, size_rows if len(hashes if small else [0]) else []), "decontamination")
-    right = bench_rows.drop("words", "size")
+        told = bench_rows.select("kind", "template", "hash").distinct().collect()
+        hashes = np.unique(np.array([r["hash"] for r in told], np.int64))
+        templates = [np.unique(np.array([r["template"] for r in told if r["kind"] == k], np.int64)) for k in (STRONG, VALUES, WHOLE)]
+        vocabulary = frozenset(r["w"] for r in bench_rows.select(F.explode("words").alias("w")).distinct().collect()) | frozenset(UNIT_IDS.tolist())  # units are placeholders only where they are known
+    found = stored(candidates(docs, hashes, templates, vocabulary, sizes), "decontamination")
+    right = bench_rows.drop("words", "size", "template")
     hits = found.where(F.size("found") > 0).select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
     pairs = hits.join(F.broadcast(right) if small else right, "hash").groupBy("row_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     # at most one match per window of the item: the group is bounded by the item's length
-    runs = pairs.agg(F.array_sort(F.collect_list(F.struct("item_pos", "item_slots", "slots"))).alias("matches"), F.first("n_windows").alias("of"))
+    runs = pairs.agg(F.array_sort(F.collect_list(F.struct("item_pos", "kind", "item_slots", "slots"))).alias("matches"), F.first("n_windows").alias("of"), F.first("n_strong").alias("of_strong"))
 
-    @F.udf("struct<n:long,exact:boolean>")
+    @F.udf("struct<n:long,n_strong:long,whole:boolean,exact:boolean>")
     def fit(matches):
-        return consistent((m["item_slots"], m["slots"]) for m in matches)
+        some = [m for m in matches if m["kind"] != WHOLE]
+        fits = [(m["kind"], same) for m, (fit, same) in zip(some, fitting((m["item_slots"], m["slots"]) for m in some)) if fit]
+        whole = [m["item_slots"] == m["slots"] for m in matches if m["kind"] == WHOLE and alone_consistent(m["item_slots"], m["slots"])]
+        return len(fits), sum(kind == STRONG for kind, _ in fits), bool(whole), all(same for _, same in fits) and all(whole)
 
     plain = F.forall("matches", lambda m: (m["item_slots"] == "[]") & (m["slots"] == "[]"))
-    split = runs.select("row_id", "item_id", "of", "matches", plain.alias("plain"))
-    simple = split.where("plain").select("row_id", "item_id", "of", F.size("matches").cast("long").alias("n"), F.lit(True).alias("exact"))
-    slotted = split.where("not plain").select("row_id", "item_id", "of", fit("matches").alias("f")).select("row_id", "item_id", "of", "f.n", "f.exact")
-    whole = simple.unionByName(slotted).groupBy("row_id", "item_id").agg(F.max("n").alias("n"), F.first("of").alias("of"), F.max("exact").alias("exact"))
-    bad = whole.where((F.col("n") >= COVER * F.col("of")) | (F.col("n") >= RUN)).groupBy("row_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("n").alias("n_windows"), F.max("exact").alias("exact"))
+    split = runs.select("row_id", "item_id", "of", "of_strong", "matches", plain.alias("plain"))
+    n_strong = F.size(F.filter("matches", lambda m: m["kind"] == STRONG)).cast("long")
+    simple = split.where("plain").select("row_id", "item_id", "of", "of_strong", F.size("matches").cast("long").alias("n"), n_strong.alias("n_strong"), F.lit(False).alias("whole"), F.lit(True).alias("exact"))
+    slotted = split.where("not plain").select("row_id", "item_id", "of", "of_strong", fit("matches").alias("f")).select("row_id", "item_id", "of", "of_strong", "f.n", "f.n_strong", "f.whole", "f.exact")
+    leak = F.col("whole") | ((F.col("of_strong") > 0) & (F.col("n_strong") >= COVER * F.col("of_strong"))) | (F.col("n") >= COVER * F.col("of")) | (F.col("n") >= RUN)
+    whole = simple.unionByName(slotted).withColumn("leak", leak).groupBy("row_id", "item_id").agg(F.max("n").alias("n"), F.max("leak").alias("leak"), F.max("exact").alias("exact"))
+    bad = whole.where("leak").groupBy("row_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("n").alias("n_windows"), F.max("exact").alias("exact"))
     return found.select("row_id", "doc_id", "text_hash").join(bad, "row_id", "left").select("row_id", "doc_id", "text_hash", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 

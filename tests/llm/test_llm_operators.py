@@ -352,6 +352,22 @@ def test_decontaminate(spark):
     assert decontaminate.judge(df, none).where("contaminated").count() == 0 and decontaminate.judge(df.limit(0), bench).count() == 0
 
 
+def test_items_of_few_words(spark, monkeypatch):
+    """Items full of numbers and names: verbatim copies, and whole items with other values."""
+    items = [(0, "Alice, Bob and Carol paid 12, 15 and 20 euros."), (1, "solve 3 by 4 now"), (2, "If Ann ran 5 km, Ben 7 km and Cleo 9 km, did Ann 3 or Cleo 4 win"), (3, "name 7 primes"), (4, "odd 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = {
+        0: f"{prose(20)}. {items[0][1]} {prose(9)}", 1: "Alice, Bob and Carol paid 13, 15 and 20 euros.", 2: f"{prose(20)} solve 3 by 4 now {prose(5)}", 3: "solve 3 by 5 now",
+        4: f"{prose(9)}. If Eva ran 6 km, Tom 8 km and Zoe 3 km, did Eva 1 or Zoe 2 win {prose(5)}", 5: "If Eva ran 6 km, Tom 8 km and Zoe 3 km, did Tom 1 or Zoe 2 win", 6: "Name 7 primes.", 7: "now name 7 primes", 8: "name 8 primes",
+        9: "so 5 6 7 8 9 10 11 12 13 14 15 16 17 18 x", 10: "so 5 6 7 8 9 10 11 12 13 15 16 17 x", 11: prose(50), 12: "",
+    }
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    want = {0: [0], 2: [1], 4: [2], 6: [3], 9: [4]}
+    for bound in (decontaminate.MAX_HASHES, 0):
+        monkeypatch.setattr(decontaminate, "MAX_HASHES", bound)
+        assert {r.doc_id: r.items for r in decontaminate.judge(df, bench).where("contaminated").collect()} == want
+
+
 def test_slots():
     fit = lambda *pairs: decontaminate.consistent(iter(pairs))
     assert fit(('["15"]', '["31"]'), ('["15", "27"]', '["31", "9"]')) == (2, False)
