@@ -1,9 +1,10 @@
 """Secret scans: fixed base patterns and a linear-chain conditional random field.
 
 The field tags tokens (runs without white space, quotes, brackets and `,;:=|`) as begin, inside or outside of a secret from
-shape, neighbouring words and file features, and is decoded by Viterbi. A token without digits that is shorter than
-LONG characters can only be outside: that is a constraint of the model, in training as in decoding, so the best path of a
-text is the concatenation of the best paths of its stretches of other tokens, and plain prose costs one regex pass.
+shape, neighbouring words and file features, and is decoded by Viterbi. A token can only be outside if it has no digit, is
+shorter than LONG characters and follows neither a cue word nor, in a text with a cue, a `=` or `:`. That is a constraint of
+the model, in training as in decoding, so the best path of a text is the concatenation of the best paths of its stretches of
+other tokens, and prose without a cue costs one regex pass.
 
 The model is trained here, on sequences that are made from a fixed seed (`examples`), once per process that plans a query.
 
@@ -39,6 +40,11 @@ TOKEN = re.compile(r"""[^\s"'`,;:=<>()\[\]{}|]+""")
 MARKED = re.compile(r"""[^\s"'`,;:=<>()\[\]{}|]*[0-9][^\s"'`,;:=<>()\[\]{}|]*|[^\s"'`,;:=<>()\[\]{}|]{20,}""")
 O, B, I = range(3)
 CUES = frozenset("password passwd pwd secret token key apikey api_key access_key private auth authorization bearer credential credentials passphrase client_secret".split())
+CUE_ENDS = ("_key", "_secret", "_token", "password")
+CUE_HINTS = ("passw", "pwd", "secret", "token", "key", "private", "auth", "bearer", "credential", "passphrase")
+LETTERS = re.compile(r"[A-Za-z_]+")
+#: The pairs of letters that prose has most.
+PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo ge ie ee em ad ol po na ul ni ts mo pa im mi ai".split())
 #: Joins that a secret may run on over between two tokens.
 MAX_GAP = 1
 
@@ -83,6 +89,21 @@ def shape(token: str) -> list[str]:
     return out
 
 
+def is_cue(word: str) -> bool:
+    low = word.lower()
+    return low in CUES or low.endswith(CUE_ENDS)
+
+
+def plain_features(token: str, cue: bool, sep: str) -> list[str]:
+    """Of a short token without digits: letters, length and place together."""
+    core = token.rstrip(".!?")
+    kind = "mark" if set(core) & set("!#$%&*+?^~@") else "sign" if not core.isalpha() else "lower" if core.islower() else "title" if core[1:].islower() else "upper" if core.isupper() else "mixed"
+    pairs = [a + b in PAIRS for a, b in zip(core.lower(), core[1:].lower())]
+    usual = sum(pairs) * 5 // max(len(pairs), 1)
+    size = min(len(core) // 3, 6)
+    return ["plain", f"plain-{kind}-{size}", f"plain-{kind}-usual{usual}", f"plain-{kind}-{size}-usual{usual}", f"plain-cue{int(cue)}-{kind}", f"plain-sep{sep}-cue{int(cue)}-{size}"]
+
+
 def features(text: str, start: int, end: int, file: list[str], joined: bool) -> list[str]:
     """Features of the token text[start:end]."""
     before = text[max(0, start - 40) : start]
@@ -90,8 +111,10 @@ def features(text: str, start: int, end: int, file: list[str], joined: bool) ->
     last = words[-1].lower() if words else ""
     after = text[end : end + 1]
     out = ["bias", *shape(text[start:end]), *file]
-    out.append(f"cue{int(last in CUES or any(last.endswith(c) for c in ('_key', '_secret', '_token', 'password')))}")
-    out.append("sep" + (before.rstrip(" \"'")[-1:] if before.rstrip(" \"'")[-1:] in "=:" else "-"))
+    cue, sep = is_cue(last), before.rstrip(" \"'")[-1:] if before.rstrip(" \"'")[-1:] in "=:" else "-"
+    out += [f"cue{int(cue)}", "sep" + sep]
+    if end - start < LONG and not MARKED.fullmatch(text, start, end):
+        out += plain_features(text[start:end], cue, sep)
     out.append("quoted" if before[-1:] in "\"'`" and after in "\"'`" and after else "bare")
     out.append(f"joined{int(joined)}")
     return out
@@ -101,10 +124,25 @@ def file_features(text: str) -> list[str]:
     return [f"file{int('=' in text or '{' in text)}"]
 
 
+def open_tokens(text: str) -> Iterator[re.Match]:
+    """The tokens that may be more than outside."""
+    low = text.lower()
+    if not any(w in low for w in CUE_HINTS):
+        yield from MARKED.finditer(text)
+        return
+    at, cue = 0, False
+    for m in TOKEN.finditer(text):
+        gap, token = text[at : m.start()], m[0]
+        if cue or "=" in gap or ":" in gap or len(token) >= LONG or MARKED.fullmatch(token):
+            yield m
+        words = LETTERS.findall(token)
+        at, cue = m.end(), bool(words) and is_cue(words[-1])
+
+
 def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of tokens that may be more than outside; within a run nothing but separators lies between."""
     run: list[tuple[int, int]] = []
-    for m in MARKED.finditer(text):
+    for m in open_tokens(text):
         if run and m.start() - run[-1][1] > MAX_GAP:
             yield run
             run = []
@@ -173,11 +211,15 @@ class Field:
                 self.move += rate * d_move / np.sqrt(g_move)
 
 
-def examples(n: int = 500, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+PROSE = "the is and for was of in to required optional authentication management configuration expired reset policy confidential administrator undefined string true false null none invalid changed service ring economy agent holder value house sector schools property investigation information ingredients questions performance manager generation sharing distribution important summer winter river rain garden mountain yellow window security encryption verification protected forgotten document community government development responsibility representatives well-known user-defined built-in sign-in".split()
+
+
+def examples(n: int = 700, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts with their secret spans, from a fixed seed."""
     r = random.Random(seed)
     word = lambda: "".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9)))
     chars = lambda pool, a, b: "".join(r.choices(pool, k=r.randint(a, b)))
+    part = lambda: r.choice(PROSE)[:9] if r.random() < 0.5 else chars(string.ascii_lowercase, 3, 9)
     alnum, num = string.ascii_letters + string.digits, string.digits
 
     def secret() -> str:
@@ -188,6 +230,10 @@ def examples(n: int = 500, seed: int = 7) -> list[tuple[str, list[tuple[int, int
             lambda: word() + "_" + chars(alnum, 20, 40) + chars(num, 1, 2),
             lambda: "AKIA" + chars(string.ascii_uppercase + num, 15, 17),
             lambda: word().title() + chars(num, 2, 5) + chars("!#$%", 1, 2) + chars(alnum, 4, 8),
+            lambda: part().title() + chars("!#$%&*+-_.", 1, 2) + part().title() + r.choice(["", "!", "$"]),
+            lambda: chars(string.ascii_lowercase, 12, 19),
+            lambda: chars(string.ascii_letters, 10, 19),
+            lambda: chars(string.ascii_letters + "!#$%&*+-_", 10, 19),
         ])()
 
     def other() -> str:
@@ -204,7 +250,11 @@ def examples(n: int = 500, seed: int = 7) -> list[tuple[str, list[tuple[int, int
         text, spans = "", []
         for _ in range(r.randint(1, 4)):
             text += " ".join(word() for _ in range(r.randint(0, 6))) + " "
-            if r.random() < 0.5:
+            chance = r.random()
+            if chance < 0.3:  # what prose and settings say after a cue or a separator
+                text += r.choice(["password", "token", "secret", "key", "Private", "Passwords", "auth", "bearer", "api_key", "name", "Note", "type"]) + r.choice([" ", ": ", " ", "=", " = ", ' "'])
+                text += " ".join(r.choice([str.lower, str.lower, str.title, str.upper])(r.choice(PROSE)) for _ in range(r.randint(1, 3))) + r.choice(["", ".", "\n", '"'])
+            elif chance < 0.6:
                 s = secret()
                 text += r.choice(["password", "api_key", "token", "secret", "client_secret", "Authorization: Bearer", "passwd"]) + r.choice(["=", ": ", " = ", " ", '="', ": '"])
                 spans.append((len(text), len(text) + len(s)))

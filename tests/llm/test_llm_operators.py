@@ -431,6 +431,15 @@ def test_secrets(spark):
     assert "crf:" in next(r.spans for r in got if r.doc_id == 9) and secrets.digest(secrets.scan(df.limit(0))).count() == 0
 
 
+def test_secrets_without_digits():
+    model = secrets.trained()
+    for text in ("set pwd=Sommer!Regen now", "Authorization: Bearer qwertzuiopasdfgh", "passphrase: kXwQzTpLmRvB"):
+        s = text.split("=")[-1].split()[0] if "=" in text else text.split()[-1]
+        assert (text.index(s), text.index(s) + len(s)) in secrets.field_spans(text, model), text
+    for text in ("the password is required", "Private schools: a key question of token economy", "The secret garden. Author: unknown", "token: string", "It was a private investigation"):
+        assert not secrets.field_spans(text, model), text
+
+
 def test_field_held_out():
     model, hit, miss, false = secrets.trained(), 0, 0, 0
     for text, spans in secrets.examples(150, seed=123):
