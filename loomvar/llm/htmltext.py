@@ -1,19 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks from where they stand (menus, headers, footers,
-asides, forms, notices, adverts and comments are out; blocks inside an article or main element are in unless they are
-mostly links) and, elsewhere, from stop-word density, length and link density; short blocks stay open. In pass two an
-open block takes the label of its nearest decided neighbours: in if both sides are in, or if the nearer one is.
+A page is cut into blocks at block-level tags. Pass one decides every block that is not page furniture by its length, its
+link density and its density of stop words: long blocks that are rich in stop words are text, blocks that are mostly links
+and long blocks with hardly a stop word are not; short blocks, and those in between, stay open. In pass two an open block
+takes the label of its nearest decided neighbours: of the nearer one, if they differ.
+
+Tags and names say only what the page says of itself: what is a menu, header, footer, sidebar, notice, advert, form or
+reader comment is furniture, whatever its words, and is skipped; and where a page marks its article (an article or main
+element), a block's neighbours are looked for in there, a block in there is not dropped for want of stop words (lists,
+tables and headings are text too; it stays open), and the article's edges count as decided text. Blocks outside
+of a marked article are not its text. Where a page marks none, furniture counts as decided neighbours.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
-one newline. Nulls: a null html is empty and gives an empty text. Repeated rows are extracted each. An empty table gives an
-empty result. Other columns are ignored. Memory: one Arrow batch of pages. No shuffle.
+one newline. Markup that is cut off at the end of a page is left out. Nulls: a null html is empty and gives an empty text.
+Repeated rows are extracted each. An empty table gives an empty result. Other columns are ignored. Time is linear in the
+page: every character is passed once, however tags nest and whatever is left open. Memory: one Arrow batch of pages. No
+shuffle.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,25 +31,24 @@ from pyspark.sql import functions as F
 
 from loomvar.llm.common import text_batches
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+SCHEMA = "page_id long, url string, text string, n_chars long, n_decided long, n_inherited long"
 
-#: Comments, declarations, raw-text elements with their content (an unclosed one runs to the end), then tags.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: A tag to its end; a quoted value may hold `>`, a stray quote is a character. Possessive: it never goes back.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in "script style noscript template textarea svg iframe object select title".split()}
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?+""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CHROME_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar side footer header masthead breadcrumb breadcrumbs cookie cookies consent notice notices banner popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus respond pagination pager widget toolbar skip copyright legal".split())
-#: Of these, the ones that hold even around or on an article element; the others may name a wrapper of the whole page.
-FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments reply replies disqus respond related recommended recommendations".split())
-CONTENT_TAGS = frozenset(("article", "main"))
-CONTENT_ROLES = frozenset(("main", "article"))
+#: Names of menus, headers, footers, sidebars, notices and forms. They hold outside of a marked article: within one, a `header` is its title.
+CHROME_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs pagination header masthead footer sidebar cookie cookies consent notice notices banner popup modal login signup subscribe newsletter".split())
+#: Names of adverts and reader comments; they hold everywhere.
+FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments reply replies disqus".split())
+CONTENT = frozenset(("article", "main"))  # as tags and as roles
 SPACE = re.compile(r"\s+")
-#: Tags that end an open <p> or <li> of the same kind.
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Tags that end an open element of the same kind.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 
 #: The most frequent function words of the four languages of the corpus.
@@ -50,58 +58,56 @@ STOP_WORDS = frozenset(
     "le la les de et un une des que est dans pour qui sur pas avec au du il elle en "
     "el los las que y del se por con para una no es al lo como su más".split()
 )
-MIN_WORDS, STOP_LOW, STOP_HIGH, LINKS_MAX = 10, 0.15, 0.3, 0.5
-GOOD, BAD, OPEN, WEAK = 1, 0, -1, 2
+WORD = re.compile(r"[^\W\d_]+")
+MIN_WORDS, STOP_LOW, STOP_HIGH, LINKS_MAX = 10, 0.08, 0.2, 0.5
+GOOD, BAD, OPEN, FURNITURE = 1, 0, -1, 2
 
 
 class Block:
-    __slots__ = ("parts", "linked", "chars", "where")
+    __slots__ = ("parts", "linked", "chars", "inside", "out")
 
-    def __init__(self, where: int):
-        self.parts, self.linked, self.chars, self.where = [], 0, 0, where
+    def __init__(self, inside: bool, out: bool):
+        self.parts, self.linked, self.chars, self.inside, self.out = [], 0, 0, inside, out
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def place(tag: str, attrs: str, inside_content: bool) -> int:
-    """BAD if the element opens page furniture, WEAK if only its names say so, GOOD if it opens main content, else OPEN."""
-    if tag in CHROME_TAGS or (tag == "header" and not inside_content):
-        return BAD
+def place(tag: str, attrs: str, inside: bool, out: bool) -> tuple[bool, bool]:
+    """(within marked content, furniture) of what an element holds, given the same of its parent."""
+    if tag in CHROME_TAGS or (tag == "header" and not inside):
+        return inside, True
     role, words, hidden = "", [], False
-    for m in ATTRIBUTE.finditer(attrs):
+    for m in ATTRIBUTE.finditer(attrs) if attrs.strip() else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
             words += re.split(r"[^a-z0-9]+", value)
         elif name == "role":
             role = value
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             hidden = True
+    content = tag in CONTENT or role in CONTENT
     if hidden or role in CHROME_ROLES or tag not in ("html", "body") and FIRM_WORDS.intersection(words):
-        return BAD
-    if tag not in ("html", "body", "article", "main") and CHROME_WORDS.intersection(words):
-        return WEAK
-    return GOOD if tag in CONTENT_TAGS or role in CONTENT_ROLES else OPEN
+        return inside, True
+    if not inside and not content and tag not in ("html", "body") and CHROME_WORDS.intersection(words):
+        return inside, True
+    return inside or content, out
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks in page order; `where` says whether furniture or main content holds them."""
+    """Blocks in page order, with what holds them."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open block-level elements and what they say
-    now = Block(OPEN)
+    # open block-level elements: tag, within content, furniture, furniture by name alone (an article in there lifts it)
+    stack: list[tuple[str, bool, bool, bool]] = []
+    open_: Counter[str] = Counter()
+    now = Block(False, False)
     links = 0
 
-    def where() -> int:
-        said = [w for _, w in stack if w != OPEN]
-        if BAD in said:
-            return BAD
-        return OPEN if not said else GOOD if said[-1] == GOOD else BAD  # the innermost of the others counts
-
     def flush() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(where())
+        now = Block(*stack[-1][1:3]) if stack else Block(False, False)
 
     def text(s: str) -> None:
         if s:
@@ -111,57 +117,95 @@ def blocks(page: str) -> list[Block]:
             now.chars += n
             now.linked += n if links else 0
 
-    at = 0
-    for m in MARKUP.finditer(page):
-        text(page[at : m.start()])
+    def push(tag: str, attrs: str) -> None:
+        _, inside, furniture, named = stack[-1] if stack else ("", False, False, False)
+        content, held = place(tag, attrs, inside, furniture)
+        if not furniture:
+            # furniture by its names, not by its tag: it may be a wrapper of the whole page
+            named = held and not inside and tag not in CHROME_TAGS and tag != "header"
+        elif named and content and not inside:
+            named, held = False, place(tag, attrs, inside, False)[1]
+        stack.append((tag, content, held, named))
+        open_[tag] += 1
+
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            text(page[at:])
+            break
+        text(page[at:lt])
+        at = lt
+        follow = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if follow in ("!", "?") or follow == "/" and not page[lt + 2 : lt + 3].isalpha():
+            end = page.find(">", lt)
+            at = end + 1 if end >= 0 else n
+            continue
+        if not (follow == "/" or follow.isascii() and follow.isalpha()):
+            text("<")
+            at = lt + 1
+            continue
+        m = TAG.match(page, lt)
+        if not m:
+            break  # markup that is cut off at the end
         at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+        tag, closing = m[2].lower(), bool(m[1])
+        if tag in RAW:
+            if not closing and not m[3].rstrip().endswith("/"):
+                end = RAW[tag].search(page, at)
+                at = end.end() if end else n
             continue
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links + (-1 if m[2] else 1))
+                links = max(0, links + (-1 if closing else 1))
             continue  # an inline element is text of its block, whatever its names
-        if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                flush()
-            else:
-                flush()
+        if closing:
+            if open_[tag]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
+            flush()
             continue
         if tag in VOID:
-            if tag in ("br", "hr"):
-                flush() if tag == "hr" else now.parts.append(" ")
+            if tag == "hr":
+                flush()
+            elif tag == "br":
+                now.parts.append(" ")
             continue
         if stack and tag in SELF_CLOSING and SELF_CLOSING.get(stack[-1][0]) == SELF_CLOSING[tag]:
-            stack.pop()
-        if not m[4].rstrip().endswith("/") or tag in ("p", "div"):
-            stack.append((tag, place(tag, m[4], any(w == GOOD for _, w in stack))))
+            open_[stack.pop()[0]] -= 1
+        if not m[3].rstrip().endswith("/") or tag in ("p", "div"):
+            push(tag, m[3])
         links = 0
         flush()
-    rest = page[at:]
-    cut = re.search(r"<[a-zA-Z/!?]", rest)  # markup that is cut off at the end
-    text(rest[: cut.start()] if cut else rest)
     flush()
     return out
 
 
-def first_pass(block: Block, text: str, has_content: bool) -> int:
-    if block.where == BAD:
-        return BAD
+def first_pass(block: Block, text: str, marked: bool) -> int:
+    """By length, link density and stop-word density; `marked`: the page marks its article."""
+    if block.out:
+        return FURNITURE
+    words = text.split()
     links = block.linked / max(block.chars, 1)
-    if block.where == GOOD:
-        return OPEN if links > LINKS_MAX else GOOD
-    if has_content:
+    stops = sum(w in STOP_WORDS for w in WORD.findall(text.lower())) / max(len(words), 1)
+    within = marked and block.inside
+    if marked and not block.inside:
         return BAD
     if links > LINKS_MAX:
-        return BAD
-    words = text.lower().split()
-    stops = sum(w.strip(".,!?") in STOP_WORDS for w in words) / max(len(words), 1)
+        # a linked heading or sentence of an article is its text, a list of links in one block is a menu
+        return BAD if not within or len(words) >= MIN_WORDS and stops < STOP_LOW else OPEN
     if len(words) < MIN_WORDS:
         return OPEN
-    return GOOD if stops >= STOP_HIGH else OPEN if stops >= STOP_LOW else BAD
+    if stops >= STOP_HIGH:
+        return GOOD
+    return OPEN if within or stops >= STOP_LOW else BAD
 
 
 def second_pass(labels: list[int]) -> list[int]:
@@ -186,21 +230,37 @@ def second_pass(labels: list[int]) -> list[int]:
     return out
 
 
+def judged(page: str | None) -> tuple[list[str], list[int], list[int]]:
+    """(texts of all blocks, labels of pass one, labels of pass two)."""
+    found = [(b, t) for b in blocks(page or "") if (t := b.text())]
+    marked = any(b.inside and not b.out for b, _ in found)
+    first = [first_pass(b, t, marked) for b, t in found]
+    second = list(first)
+    if marked:  # neighbours within the article, whose edges count as decided text
+        part = [k for k, (b, _) in enumerate(found) if b.inside and not b.out]
+        for k, x in zip(part, second_pass([GOOD, *(first[k] for k in part), GOOD])[1:]):
+            second[k] = x
+    else:
+        second = second_pass([BAD if x == FURNITURE else x for x in first])
+    return [t for _, t in found], first, second
+
+
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = [(b, t) for b in blocks(page) if (t := b.text())]
-    has_content = any(b.where == GOOD for b, _ in found)
-    labels = second_pass([first_pass(b, t, has_content) for b, t in found])
-    return "\n".join(t for (_, t), x in zip(found, labels) if x == GOOD)
+    texts, _, labels = judged(page)
+    return "\n".join(t for t, x in zip(texts, labels) if x == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page; n_decided: blocks that pass one decided by their densities, n_inherited: those left to pass two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts, decided, inherited = [], [], []
+            for x in batch.column(2):
+                blocks_, first, second = judged(x.as_py())
+                texts.append("\n".join(t for t, label in zip(blocks_, second) if label == GOOD))
+                decided.append(sum(label in (GOOD, BAD) for label in first))
+                inherited.append(sum(label == OPEN for label in first))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(decided, pa.int64()), pa.array(inherited, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_decided", "n_inherited"])
 
     return text_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)

@@ -2,6 +2,7 @@
 result against a brute-force form."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -398,11 +399,57 @@ def test_html():
 
 def test_html_names():
     assert htmltext.main_text('<div class="with-sidebar no-footer"><article><p>text <a class="related share">link</a> more</p></article></div>') == "text link more"
-    assert htmltext.main_text('<main><p>body</p><section class="comments"><article class="comment"><p>hi</p></article></section><div class="share-bar">Share</div></main>') == "body"
+    assert htmltext.main_text('<main><p>body</p><section class="comments"><article class="comment"><p>hi</p></article></section><div class="ad-bar">Buy</div></main>') == "body"
     assert htmltext.main_text("<aside><article>other</article></aside><article>own</article>") == "own"
     assert htmltext.main_text('<div role="alert">note</div><div id="main" role="main"><h2>Head</h2>loose <em>text</em><div hidden>x</div></div>') == "Head\nloose text"
 
 
+def test_html_keeps_the_article_whole():
+    """Within a marked article only furniture goes, whatever names its sections have."""
+    page = '<main><p>body</p><section class="social legal header skip"><p>small print</p></section><div class="ad">x</div><p><a href="#">a linked sentence</a></p><div class="ad">y</div><ul><li>1 2 3 4 5 6 7 8 9 10 11 12</ul></main><p>the of and to in a is that it for was on are</p>'
+    assert htmltext.main_text(page) == "body\nsmall print\na linked sentence\n1 2 3 4 5 6 7 8 9 10 11 12"
+    links = " ".join(f'<a href="/{k}">entry{k}</a>' for k in range(12))
+    assert htmltext.main_text(f"<article><p>text</p><div>{links}</div></article>") == "text"
+
+
+def test_html_rules():
+    rich, poor = "the of and to in a is that it for was on are", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    first = lambda html: htmltext.judged(html)[1]
+    g, b, o, f = htmltext.GOOD, htmltext.BAD, htmltext.OPEN, htmltext.FURNITURE
+    assert first(f"<p>{rich}<p>{poor}<p>short<p><a>{rich}</a><p>{rich} {poor} {poor} {poor} {poor}") == [g, b, o, b, g]
+    assert first(f"<article><p>{rich}<p>{poor}<p>short<nav>x</nav></article><p>{rich}") == [g, o, o, f, b]
+    # without a marked article the densities alone decide, and short blocks go with their neighbours
+    assert htmltext.main_text(f"<div><p>{rich}</p><p>short</p><p>{rich}</p><p>{poor}</p><p>far</p></div>") == f"{rich}\nshort\n{rich}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<a b='\"<p>", "<div>", "<p>a", "<", "</x>", "&#", "<!--", '<p class="a" ', "<script>"])
+def test_html_is_linear(piece):
+    import time
+
+    page = piece * (200_000 // len(piece))
+    began = time.process_time()
+    htmltext.main_text(page * 5)
+    assert time.process_time() - began < 8  # 1 MB; quadratic forms take minutes
+    assert htmltext.main_text("<article><p>kept</p></article>" + page).startswith("kept")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_html_whole_table(spark):
+    """Every page of the table against its article, cut out by other means; and the densities do decide."""
+    import html
+
+    def article(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        cut = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        return "\n".join(x for x in cut if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: article(r.html) for r in pages.collect()}
+    got = htmltext.extract(pages).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(want)
+    assert sum(r.n_decided for r in got) > len(got) and sum(r.n_inherited for r in got) > 0
+
+
 def test_second_pass():
     g, b, o = htmltext.GOOD, htmltext.BAD, htmltext.OPEN
     assert htmltext.second_pass([g, o, g, o, o, b, o]) == [g, g, g, g, b, b, b] and htmltext.second_pass([o, o]) == [b, b] and htmltext.second_pass([]) == []
