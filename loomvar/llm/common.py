@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='loomvar-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share: that of the session; without one, a temporary folder if they are one
+    process, else the warehouse."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    own = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomvar-')}"
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get()
+    told = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    if sc.master == "local" or sc.master.startswith("local["):
+        return own_dir(sc.applicationId)
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/loomvar-scratch"
 
 
 def few(spark: SparkSession) -> int:
@@ -32,21 +42,41 @@ def few(spark: SparkSession) -> int:
     return max(8, partitions(spark) // 16)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most BATCH_ROWS rows: ten thousand long texts at once would not fit beside a JVM."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def gathered(df: DataFrame) -> DataFrame:
+    """df, small beside its input, in few files: computed at its full width, then dealt out evenly."""
+    return df.repartition(few(df.sparkSession))
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, which Spark bounds by bytes, in slices of at most BATCH_ROWS rows, so that what is made of them is small too."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back. The table goes when the driver ends."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write df as a table in the shared folder and read it back. The table goes with `forget`, or when
+    the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.loomvar_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again: all that was made of them is stored itself."""
+    for t in tables:
+        where, fs = _path(t.sparkSession, t.loomvar_path)
+        fs.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,20 +1,23 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of template tokens: words in lower case, numbers, capitalised words within a sentence and units after
-a number as typed placeholders. Windows of WINDOW template tokens with at least LITERALS words among them are hashed and
-joined with the windows of the benchmark; a match is a pair (document, item) with an alignment (document position less item
-position). Within a pair and alignment the slots must be consistent: one benchmark value stands for one document value and
-the other way round. A document is contaminated by an item if the consistent windows cover at least COVER of the item's
-windows, or RUN windows of it. Items shorter than a window are one window of their own length.
-
-Windows with fewer words than that match by their values: their key is a hash of template and slot values, and they count
-beside the others, towards COVER of all windows or RUN. An item that has only such windows, and LITERALS words in all, also
-matches by the hash of its whole template, if its slots are consistent from end to end. An item of fewer than MIN_TOKENS
-tokens contaminates the documents that consist of it.
+Texts become sequences of template tokens: words in lower case, operators, and as typed placeholders numbers, capitalised
+words within a sentence (at its beginning, if another one follows) and units after a number. Windows of WINDOW template tokens with at least LITERALS words or operators
+among them are hashed and joined with the windows of the benchmark; a match is a pair (document, item) with an alignment
+(document position less item position). Within a pair and alignment the slots must be consistent: one benchmark value stands
+for one document value and the other way round. An alignment is refused if more of its windows conflict than fit. A document
+is contaminated by an item if the consistent windows cover at least COVER of the item's windows, or RUN windows of it. Items
+shorter than a window are one window of their own length.
+
+Every item has a path. Windows with fewer literal tokens match by their values: their key is a hash of template and slot
+values, and they count beside the others, towards COVER of all windows or RUN. An item that has only such windows, and
+EVIDENCE literal tokens in all, also matches by the hash of its whole template, if its slots are consistent from end to end:
+that is how re-parameterised arithmetic is found (with fewer than LITERALS of them it must begin and end with a sentence
+or line of the document). An item of fewer than MIN_TOKENS tokens contaminates the documents that
+hold it as a whole sentence or line.
 
 Documents are read once, where they lie; only windows whose hash the benchmark has leave the Python stage. That set of
-hashes is broadcast if it has at most MAX_HASHES entries; beyond it all windows go into the shuffled join. Items and
-windows that many documents share are joined from the benchmark's side by broadcast under the same bound.
+hashes is broadcast if it has at most MAX_HASHES entries; beyond it all windows go into the shuffled join. The benchmark's
+rows are broadcast to the matches if they have at most MAX_BYTES of slots, else merged.
 
 Nulls: a null text has no windows; a null item is ignored. Repeated rows are judged each. An empty documents table gives an
 empty result; with an empty benchmark nothing is contaminated. Extra columns are ignored.
@@ -32,15 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import stored, text_batches
+from loomvar.llm.common import sliced, stored
 
 WINDOW, LITERALS = 8, 5
 COVER, RUN = 0.5, 6
-MIN_TOKENS = 5  # shorter items are no evidence within a longer text, only as the whole of one
+EVIDENCE = 3  # literal tokens of an item that may match by its template alone
+MIN_TOKENS = 5  # shorter items are no evidence within a longer sentence, only as the whole of one
 STRONG, VALUES, WHOLE = range(3)  # what a benchmark row matches by: template, template and values, the item's whole template
 WHOLE_TAG = 0x5DEECE66D1CE4E5B
-MAX_HASHES = 2_000_000
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
+MAX_HASHES, MAX_BYTES = 2_000_000, 32 << 20
+#: Numbers, words, ends of sentences and lines, and operators that do not touch a letter.
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]|(?<![^\W\d_])(?<![-+*/=<>^])[-+*/=<>^]++(?![^\W\d_])")
 STOPS = frozenset(".!?:\n")
 UNITS = frozenset("km m cm mm mi ft kg g mg lb oz t l ml s ms min h hr hours hour minutes seconds days day years year usd eur dollars euros euro cents percent pct kmh mph watts w kw mb gb tb".split())
 STOP, NUM, NAME, UNIT, FIRST = 0, 1, 2, 3, 16
@@ -85,22 +90,23 @@ class Codes(dict):
 UNIT_IDS = np.array(sorted(word_id(u) for u in UNITS))
 
 
-def template(text: str, codes: Codes) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(template codes, all tokens, index of each code's token)."""
+def template(text: str, codes: Codes) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(template codes, all tokens, index of each code's token, number of each code's sentence)."""
     tokens = TOKEN.findall(text)
     raw = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
     cap = raw >= CAP
     after_stop = np.ones(len(raw), bool)
     after_stop[1:] = raw[:-1] == STOP
     raw = np.where(cap, np.where(raw - CAP >= CAP // 2, UNKNOWN, raw - CAP), raw)
-    raw[cap & ~after_stop] = NAME
+    paired = np.append(cap[1:] & cap[:-1], False)
+    raw[cap & (~after_stop | paired)] = NAME
     if len(raw):
         after_num = np.zeros(len(raw), bool)
         after_num[1:] = raw[:-1] == NUM
         if after_num.any():
             raw[after_num & np.isin(raw, UNIT_IDS)] = UNIT
     kept = np.flatnonzero(raw != STOP)
-    return raw[kept], tokens, kept
+    return raw[kept], tokens, kept, np.cumsum(raw == STOP)[kept]
 
 
 def windows(codes: np.ndarray, size: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +125,14 @@ def windows(codes: np.ndarray, size: int, least: int = 0) -> tuple[np.ndarray, n
     return at, h.view(np.int64), literal[at]
 
 
+def sentences(part: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each size the positions of the sentences and lines that have it; the whole text counts as one too."""
+    n = len(part)
+    start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if n else np.empty(0, np.int64)
+    length = np.diff(np.append(start, n))
+    return {k: np.union1d(start[length == k], [0] if n == k else []).astype(np.int64) for k in sizes}
+
+
 def slots(codes: np.ndarray, tokens: list[str], kept: np.ndarray, at: int, size: int) -> str:
     """The window's slot values in order, as JSON."""
     return json.dumps([tokens[kept[k]].lower() for k in range(at, at + size) if codes[k] < FIRST])
@@ -141,10 +155,10 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(None)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                c, tokens, kept = template(text.as_py() or "", codes)
+                c, tokens, kept, _ = template(text.as_py() or "", codes)
                 size = min(WINDOW, len(c))
                 at, h, literal = windows(c, size)
                 strong = (literal >= min(LITERALS, size)) & (size >= MIN_TOKENS)
@@ -153,7 +167,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
                 for p, x, st in zip(at.tolist(), h.tolist(), strong.tolist()):
                     values = slots(c, tokens, kept, p, size)
                     out.append(one | {"kind": STRONG if st else VALUES, "item_pos": p, "size": size, "template": x, "hash": x if st else values_key(x, values, size < MIN_TOKENS), "item_slots": values, "words": words if p == 0 else []})
-                if len(at) and not strong.any() and (c >= FIRST).sum() >= LITERALS:
+                if len(c) >= MIN_TOKENS and not strong.any() and (c >= FIRST).sum() >= EVIDENCE:
                     x = int(windows(c, len(c))[1][0])
                     out.append(one | {"kind": WHOLE, "item_pos": 0, "size": len(c), "template": x, "hash": x ^ WHOLE_TAG, "item_slots": slots(c, tokens, kept, 0, len(c))})
             schema = pa.schema([("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_strong", pa.int64()), ("kind", pa.int32()), ("item_pos", pa.int64()), ("size", pa.int32()), ("template", pa.int64()), ("hash", pa.int64()), ("item_slots", pa.string()), ("words", pa.list_(pa.int64()))])
@@ -174,32 +188,47 @@ def candidates(docs: DataFrame, hashes: np.ndarray | None, templates: list[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(vocabulary)
-        for batch in batches:
+        short = [k for k in sizes[VALUES] if k < MIN_TOKENS]
+        for batch in sliced(batches):
             out = []
             for text in batch.column(2):
-                c, tokens, kept = template(text.as_py() or "", codes)
+                c, tokens, kept, part = template(text.as_py() or "", codes)
                 found = []
-                alone = [len(c)] if len(c) < MIN_TOKENS and len(c) in sizes[VALUES] else []
-                for size in sorted({*within[STRONG], *within[VALUES], *alone}):
-                    least = min(LITERALS, size) if size >= MIN_TOKENS else size + 1
-                    at, h, literal = windows(c, size, 0 if size in sizes[VALUES] else least)
-                    strong, values = literal >= least, literal < least
+
+                def by_values(size: int, at: np.ndarray, h: np.ndarray) -> None:
                     if hashes is not None:
-                        strong, values = strong & among(templates[STRONG], h), values & among(templates[VALUES], h)
-                    found += [{"hash": x, "pos": p, "slots": slots(c, tokens, kept, p, size)} for p, x in zip(at[strong].tolist(), h[strong].tolist())]
-                    for p, x in zip(at[values].tolist(), h[values].tolist()):
-                        said = slots(c, tokens, kept, p, size)
+                        some = among(templates[VALUES], h)
+                        at, h = at[some], h[some]
+                    for p, x in zip(at.tolist(), h.tolist()):
+                        said = slots(c, tokens, kept, p, size)  # noqa: B023
                         key = values_key(x, said, size < MIN_TOKENS)
                         if hashes is None or key in keys:
-                            found.append({"hash": key, "pos": p, "slots": said})
+                            found.append({"hash": key, "pos": p, "slots": said})  # noqa: B023
+
+                for size in sorted({*within[STRONG], *within[VALUES]}):
+                    least = min(LITERALS, size)
+                    at, h, literal = windows(c, size, 0 if size in sizes[VALUES] else least)
+                    strong = literal >= least
+                    by_values(size, at[~strong], h[~strong])
+                    if hashes is not None:
+                        strong &= among(templates[STRONG], h)
+                    found += [{"hash": x, "pos": p, "slots": slots(c, tokens, kept, p, size)} for p, x in zip(at[strong].tolist(), h[strong].tolist())]
+                for size, whole in sentences(part, short).items() if short else ():
+                    if len(whole):
+                        at, h, _ = windows(c, size)
+                        some = np.isin(at, whole)
+                        by_values(size, at[some], h[some])
                 for size in sizes[WHOLE]:
-                    at, h, _ = windows(c, size, LITERALS)
+                    at, h, literal = windows(c, size, EVIDENCE)
                     fits = among(templates[WHOLE], h) if hashes is not None else np.ones(len(h), bool)
+                    if fits.any():  # of few literal tokens only whole sentences
+                        edge = np.concatenate(([True], part[1:] != part[:-1], [True]))
+                        fits &= (literal >= LITERALS) | edge[at] & edge[at + size]
                     found += [{"hash": x ^ WHOLE_TAG, "pos": p, "slots": slots(c, tokens, kept, p, size)} for p, x in zip(at[fits].tolist(), h[fits].tolist())]
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, found_type)], names=["doc_id", "text_hash", "found"])
 
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, found array<struct<hash:long,pos:long,slots:string>>").withColumn("row_id", F.monotonically_increasing_id())
 
 
@@ -212,7 +241,7 @@ def fitting(pairs: Iterator[tuple[str, str]]) -> Iterator[tuple[bool, bool]]:
             yield True, True
             continue
         a, b = json.loads(item), json.loads(doc)
-        if len(a) != len(b) or any(there.get(x, y) != y or back.get(y, x) != x for x, y in zip(a, b)):
+        if len(a) != len(b) or not len(set(zip(a, b))) == len(set(a)) == len(set(b)) or any(there.get(x, y) != y or back.get(y, x) != x for x, y in zip(a, b)):
             yield False, False
             continue
         there.update(zip(a, b))
@@ -227,9 +256,35 @@ def alone_consistent(item: str, doc: str) -> bool:
 
 
 def consistent(pairs: Iterator[tuple[str, str]]) -> tuple[int, bool]:
-    """(windows whose slots fit one two-way mapping, whether all of these have equal values); windows in page order."""
-    fits = [same for fit, same in fitting(pairs) if fit]
-    return len(fits), all(fits)
+    """(windows whose slots fit one two-way mapping, whether all of these have equal values); windows in page order. None
+    count if more windows conflict than fit."""
+    told = list(fitting(pairs))
+    fits = [same for fit, same in told if fit]
+    return (0, False) if 2 * len(fits) < len(told) else (len(fits), all(fits))
+
+
+FIT = "row_id long, item_id long, of long, of_strong long, n long, n_strong long, whole boolean, exact boolean"
+
+
+def fit_slots(runs: DataFrame) -> DataFrame:
+    """FIT rows: of the matches of a document, item and alignment, how many are consistent."""
+    schema = pa.schema([("row_id", pa.int64()), ("item_id", pa.int64()), ("of", pa.int64()), ("of_strong", pa.int64()), ("n", pa.int64()), ("n_strong", pa.int64()), ("whole", pa.bool_()), ("exact", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for matches in batch.column(4).to_pylist():
+                some = [m for m in matches if m["kind"] != WHOLE]
+                told = list(zip(some, fitting((m["item_slots"], m["slots"]) for m in some)))
+                fits = [(m["kind"], same) for m, (fit, same) in told if fit]
+                if 2 * len(fits) < len(told):
+                    fits = []
+                whole = [m["item_slots"] == m["slots"] for m in matches if m["kind"] == WHOLE and alone_consistent(m["item_slots"], m["slots"])]
+                rows.append((len(fits), sum(kind == STRONG for kind, _ in fits), bool(whole), all(same for _, same in fits) and all(whole)))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], schema=schema)
+
+    return runs.select("row_id", "item_id", "of", "of_strong", "matches").mapInArrow(run, FIT)
 
 
 def judge(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -249,23 +304,17 @@ def judge(docs: DataFrame, bench: DataFrame) -> DataFrame:
         vocabulary = frozenset(r["w"] for r in bench_rows.select(F.explode("words").alias("w")).distinct().collect()) | frozenset(UNIT_IDS.tolist())  # units are placeholders only where they are known
     found = stored(candidates(docs, hashes, templates, vocabulary, sizes), "decontamination")
     right = bench_rows.drop("words", "size", "template")
+    light = (bench_rows.agg(F.sum(F.length("item_slots") + 64)).first()[0] or 0) <= MAX_BYTES
     hits = found.where(F.size("found") > 0).select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
-    pairs = hits.join(F.broadcast(right) if small else right, "hash").groupBy("row_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    pairs = hits.join(F.broadcast(right) if light else right, "hash").groupBy("row_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     # at most one match per window of the item: the group is bounded by the item's length
     runs = pairs.agg(F.array_sort(F.collect_list(F.struct("item_pos", "kind", "item_slots", "slots"))).alias("matches"), F.first("n_windows").alias("of"), F.first("n_strong").alias("of_strong"))
 
-    @F.udf("struct<n:long,n_strong:long,whole:boolean,exact:boolean>")
-    def fit(matches):
-        some = [m for m in matches if m["kind"] != WHOLE]
-        fits = [(m["kind"], same) for m, (fit, same) in zip(some, fitting((m["item_slots"], m["slots"]) for m in some)) if fit]
-        whole = [m["item_slots"] == m["slots"] for m in matches if m["kind"] == WHOLE and alone_consistent(m["item_slots"], m["slots"])]
-        return len(fits), sum(kind == STRONG for kind, _ in fits), bool(whole), all(same for _, same in fits) and all(whole)
-
     plain = F.forall("matches", lambda m: (m["item_slots"] == "[]") & (m["slots"] == "[]"))
     split = runs.select("row_id", "item_id", "of", "of_strong", "matches", plain.alias("plain"))
     n_strong = F.size(F.filter("matches", lambda m: m["kind"] == STRONG)).cast("long")
     simple = split.where("plain").select("row_id", "item_id", "of", "of_strong", F.size("matches").cast("long").alias("n"), n_strong.alias("n_strong"), F.lit(False).alias("whole"), F.lit(True).alias("exact"))
-    slotted = split.where("not plain").select("row_id", "item_id", "of", "of_strong", fit("matches").alias("f")).select("row_id", "item_id", "of", "of_strong", "f.n", "f.n_strong", "f.whole", "f.exact")
+    slotted = fit_slots(split.where("not plain"))
     leak = F.col("whole") | ((F.col("of_strong") > 0) & (F.col("n_strong") >= COVER * F.col("of_strong"))) | (F.col("n") >= COVER * F.col("of")) | (F.col("n") >= RUN)
     whole = simple.unionByName(slotted).withColumn("leak", leak).groupBy("row_id", "item_id").agg(F.max("n").alias("n"), F.max("leak").alias("leak"), F.max("exact").alias("exact"))
     bad = whole.where("leak").groupBy("row_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("n").alias("n_windows"), F.max("exact").alias("exact"))

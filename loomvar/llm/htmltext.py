@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import text_batches
+from loomvar.llm.common import sliced
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_decided long, n_inherited long"
 
@@ -254,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; n_decided: blocks that pass one decided by their densities, n_inherited: those left to pass two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, decided, inherited = [], [], []
             for x in batch.column(2):
                 blocks_, first, second = judged(x.as_py())
@@ -263,4 +263,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 inherited.append(sum(label == OPEN for label in first))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(decided, pa.int64()), pa.array(inherited, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_decided", "n_inherited"])
 
-    return text_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import text_batches
+from loomvar.llm.common import sliced
 
 MAX_LABELLED, MAX_POOL, MAX_WORDS = 6_000, 1_500, 2_000
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.3
@@ -189,7 +189,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[dict], list[dict],
                 out.append({"doc_id": r["doc_id"], "good": r["good"], "words": sorted(words_of(text)), "shape": shape(text), "meta": meta(r["lang"], r["source"], r["n_chars"])})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("good", pa.int32()), ("words", pa.list_(pa.string())), ("shape", pa.list_(pa.float64())), ("meta", pa.list_(pa.string()))]))
 
-    plain = text_batches(docs).select("doc_id", "text", "lang", "source", "n_chars")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     picked = plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "good", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     got = picked.mapInArrow(run, "doc_id long, good int, words array<string>, shape array<double>, meta array<string>")
     by_id: dict[int, dict] = {}
@@ -212,7 +212,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             cols = [pa.array([o[k] for o in out], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array([o[2] >= REJECT_BELOW for o in out], pa.bool_())], names=["doc_id", "text_hash", "p_text", "p_meta", "score", "keep"])
 
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     return rows.mapInArrow(run, SCHEMA)
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import few, stored, text_batches
+from loomvar.llm.common import few, sliced, stored
 
 WIDTH, ANCHOR = 35, 8
 POSITION_BITS = 28
@@ -128,7 +128,7 @@ FOUND_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hits", pa.bi
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k1 and k2 (a key that is never null), text as bytes."""
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("binary").alias("text"))
 
 
 def packed_runs(keys: list[tuple[int, int]], held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:

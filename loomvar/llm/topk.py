@@ -12,8 +12,8 @@ rounding error, so pruning never loses a result; ties go to the smaller id.
 
 The queries (a stated set) meet all vectors in blocks: QUERY_BLOCK queries with VECTOR_BLOCK vectors in a task.
 
-Nulls: vectors that are null, hold null or non-finite components, or are of another dimension than most, take no part; a
-null id takes no part. Repeated rows are separate candidates; a query that is repeated is answered once. Candidates with the
+Nulls: vectors that are null or hold null or non-finite components take no part; a null id takes no part. A vector of fewer
+dimensions than another counts as having zeros there, an empty one as zero. Repeated rows are separate candidates; a query that is repeated is answered once. Candidates with the
 query's own id are left out. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -40,7 +40,7 @@ def integers(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     fine = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
-    return vectors.where(fine & (F.size(x) > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
 
 
 def second_moment(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -107,13 +107,14 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     all_ = integers(vectors)
-    dims = all_.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not dims:
+    dim = all_.agg(F.max(F.size("v"))).first()[0]
+    if dim is None:
         return spark.createDataFrame([], schema)
-    dim = dims[0]["d"]
     if dim > MAX_DIM:
         raise ValueError(f"vectors of {dim} dimensions; {MAX_DIM} is the most")
-    all_ = stored(all_.where(F.size("v") == dim), "vectors")
+    dim = max(dim, 1)
+    zeros = F.array_repeat(F.lit(0).cast("long"), dim - F.size("v"))
+    all_ = stored(all_.withColumn("v", F.concat("v", zeros)), "vectors")
     total = all_.count()
     _, turn = np.linalg.eigh(second_moment(all_, dim))
     turn = turn[:, ::-1].copy()
@@ -160,7 +161,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score

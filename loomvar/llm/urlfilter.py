@@ -1,20 +1,23 @@
 """URL rules by a sort-merge range join, in DataFrame functions alone.
 
 A host becomes its labels in reverse, each closed by a separator, so that a rule for a host and all its subdomains is one
-interval of keys, and intervals nest. Interval starts and ends of the rules are merged with the keys of the urls in one
-sorted sweep; each start or end carries the stack of rules that are active from there on, and a url takes the stack of the
-last event before it. Within that stack the paths decide: of the rules whose path begins the url's path the longest wins
-(host and path together; ties go to the longer host, then the smaller rule text).
+interval of keys, and intervals nest. Where the intervals open and close is merged with the keys of the urls in one sorted
+sweep, which keeps the stack of the open intervals: a running height, and for each height the rules of the interval that was
+opened there last. A url finds on the stack all rules of its host and the hosts above it. Of those whose path begins the
+url's path the longest wins (host and path together; ties go to the longer host, then the smaller rule text).
 
-The sweep runs in salted lanes: every lane has all events of the rules (a list given by the caller, at most MAX_RULES) and
-a share of the urls, so one host with a third of all urls is spread evenly. Shuffle: the url columns once.
+Rules come as a list or as a table (host, path, verdict). The sweep runs in salted lanes: every lane has all openings and
+closings and a share of the urls, so one host with a third of all urls is spread evenly. Shuffle: the url columns once. The
+stack has as many places as the longest rule's host has labels; that number alone is read by the driver.
 
 Nulls: a null url, or one without `://`, has an empty host and an empty path and gets the default verdict. Repeated rows are
-judged each. An empty table gives an empty result. Extra columns are ignored.
+judged each. Rules with a null are ignored. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,6 @@ from loomvar.llm.common import ascii_lower, partitions
 
 #: (host, path, verdict) of the registered query.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-MAX_RULES = 100_000
 SEP, AFTER = "\x01", "\x02"
 ACTIVE = "array<struct<host:string,path:string,verdict:string>>"
 
@@ -41,40 +43,45 @@ def host_key(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), SEP), F.lit(SEP))
 
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the sweep takes {MAX_RULES} at most")
-    rows = F.array(*[F.struct(F.lit(h.lower()).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]) if rules else F.array().cast(ACTIVE)
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*").distinct()
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    if isinstance(rules, DataFrame):
+        rows = rules.select(*(F.col(c).cast("string").alias(c) for c in ("host", "path", "verdict"))).dropna()
+    else:
+        listed = json.dumps([{"host": h, "path": p, "verdict": v} for h, p, v in rules])
+        rows = spark.range(1).select(F.inline(F.from_json(F.lit(listed), ACTIVE)))
+    return rows.withColumn("host", ascii_lower(F.col("host"))).distinct()
 
 
 def events(rules: DataFrame) -> DataFrame:
-    """(key, active): from this key on, these rules are on the stack."""
-    hosts = rules.select("host").distinct().select("host", F.split("host", r"\.", -1).alias("labels"))
-    above = hosts.select("host", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k"), "labels")
-    above = above.select("host", F.array_join(F.slice("labels", F.col("k"), F.size("labels")), ".").alias("outer"))
-    stack = above.join(rules.withColumnRenamed("host", "outer"), "outer").groupBy("host").agg(F.collect_list(F.struct(F.col("outer").alias("host"), "path", "verdict")).alias("active"))
-    starts = stack.select(host_key("host").alias("key"), F.col("active").cast(ACTIVE).alias("active"))
+    """(key, step, held): an interval of keys opens (1, with the host's rules) or closes (-1)."""
+    hosts = rules.groupBy("host").agg(F.collect_list(F.struct("host", "path", "verdict")).cast(ACTIVE).alias("held"))
     key = host_key("host")
-    ends = stack.select(F.concat(F.substr(key, F.lit(1), F.length(key) - 1), F.lit(AFTER)).alias("key"), F.filter("active", lambda r: r["host"] != F.col("host")).cast(ACTIVE).alias("active"))
-    return starts.unionByName(ends)
+    opens = hosts.select(key.alias("key"), F.lit(1).alias("step"), "held")
+    return opens.unionByName(hosts.select(F.concat(F.substr(key, F.lit(1), F.length(key) - 1), F.lit(AFTER)).alias("key"), F.lit(-1).alias("step"), F.lit(None).cast(ACTIVE).alias("held")))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", lanes: int | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", lanes: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages(page_id, url)."""
     spark = pages.sparkSession
     lanes = lanes or 4 * partitions(spark)
+    told = rule_table(spark, rules)
+    deepest = told.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0  # labels of a host: the stack is no higher
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(lanes)).cast("int").alias("lane"))
-    urls = urls.select("lane", host_key("host").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(ACTIVE).alias("active"), "page_id", "host", "path")
-    marks = events(rule_table(spark, rules)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    marks = marks.select("lane", "key", F.lit(0).alias("kind"), "active", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"))
-    sweep = Window.partitionBy("lane").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.union(marks).withColumn("active", F.last("active", ignorenulls=True).over(sweep)).where("kind = 1")
-    fits = F.filter("active", lambda r: ((F.col("host") == r["host"]) | F.col("host").endswith(F.concat(F.lit("."), r["host"]))) & F.col("path").startswith(r["path"]))
+    urls = urls.select("lane", host_key("host").alias("key"), F.lit(0).alias("step"), F.lit(None).cast(ACTIVE).alias("held"), "page_id", "host", "path")
+    marks = events(told).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    marks = marks.select("lane", "key", "step", "held", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"))
+    # at one key an interval opens before the urls of its host
+    sweep = Window.partitionBy("lane").orderBy("key", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = urls.union(marks).withColumn("height", F.sum("step").over(sweep))
+    # the stack: its k-th place is what the last interval that opened at height k holds, while the height is k or more
+    place = lambda k: F.last(F.when((F.col("step") == 1) & (F.col("height") == k), F.col("held")), ignorenulls=True).over(sweep)
+    swept = swept.withColumns({f"place{k}": place(k) for k in range(1, deepest + 1)}).where("step = 0")
+    none = F.array().cast(ACTIVE)
+    active = F.concat(none, *(F.when(F.col("height") >= k, F.col(f"place{k}")).otherwise(none) for k in range(1, deepest + 1)))
+    fits = F.filter(active, lambda r: ((F.col("host") == r["host"]) | F.col("host").endswith(F.concat(F.lit("."), r["host"]))) & F.col("path").startswith(r["path"]))
     text = F.transform(fits, lambda r: F.struct((-F.length(r["host"]) - F.length(r["path"])).alias("size"), (-F.length(r["host"])).alias("host_size"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")))
-    best = F.array_min(text)
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return swept.withColumn("best", F.array_min(text)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE_SQL = """

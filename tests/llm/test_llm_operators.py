@@ -211,6 +211,12 @@ def test_urls(spark):
         got = [tuple(r) for r in urlfilter.judge(df, some).collect()]
         assert sorted(got, key=str) == sorted([(k, *brute_url(u, some)) for k, u in enumerate(urls)] * 2, key=str)
     assert {r.verdict for r in urlfilter.judge(df, []).collect()} == {"allow"}
+    deep = [("a.b.c.example.com", "/", "block"), ("c.example.com", "/", "allow"), ("com", "/", "block"), ("b.c.example.com", "/x", "allow"), ("example.com", "", "allow"), ("examplf.com", "/", "allow")]
+    hosts = ["com", "example.com", "c.example.com", "z.a.b.c.example.com", "b.c.example.com", "xb.c.example.com", "examplf.com", "examplg.com", "q.examplf.com"]
+    far = spark.createDataFrame([(k, f"https://{h}{p}") for k, (h, p) in enumerate((h, p) for h in hosts for p in ("/", "/x", ""))], "page_id long, url string")
+    told = spark.createDataFrame([(*r, 1) for r in deep] + [(None, "/", "block", 1)], "host string, path string, verdict string, lane int")
+    want = sorted([(r.page_id, *brute_url(r.url, deep)) for r in far.collect()], key=str)
+    assert sorted([tuple(r) for r in urlfilter.judge(far, told, lanes=2).collect()], key=str) == want == sorted([tuple(r) for r in urlfilter.judge(far, deep).collect()], key=str)
     assert urlfilter.judge(df.limit(0), urlfilter.RULES).count() == 0
     plan = urlfilter.judge(df, urlfilter.RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
@@ -363,16 +369,40 @@ def test_items_of_few_words(spark, monkeypatch):
         9: "so 5 6 7 8 9 10 11 12 13 14 15 16 17 18 x", 10: "so 5 6 7 8 9 10 11 12 13 15 16 17 x", 11: prose(50), 12: "",
     }
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
-    want = {0: [0], 2: [1], 4: [2], 6: [3], 9: [4]}
+    want = {0: [0], 1: [0], 2: [1], 3: [1], 4: [2], 6: [3], 9: [4]}
     for bound in (decontaminate.MAX_HASHES, 0):
         monkeypatch.setattr(decontaminate, "MAX_HASHES", bound)
         assert {r.doc_id: r.items for r in decontaminate.judge(df, bench).where("contaminated").collect()} == want
 
 
+def test_arithmetic_with_other_numbers(spark, monkeypatch):
+    """Re-parameterised arithmetic and word problems of few words, against the same question said by brute force: a regular
+    expression of the item with a group for every number and name, and one value for each."""
+    items = ["Compute 12 + 13 * 14 - 15 / 16 and 17 + 18 - 19", "What is 48 + 24 - 6 * 3 / 2 ?", "Anna Berg has 12 km and 7 kg ; Bob Lee has 3 km and 9 kg", "What is 3 + 4 ?", "ok then.", "7 8 9"]
+    r = random.Random(12)
+
+    def again(t, conflict=False):
+        values = {}
+        out = re.sub(r"\d+", lambda m: str(values.setdefault(m[0], r.randint(100, 999))), t)
+        out = out.replace("Anna", "Petra").replace("Berg", "Holm").replace("Bob", "Tim").replace("Lee", "Fox")
+        return re.sub(r"\d+", "5", out) if conflict else out
+
+    texts = {k: f"{prose(20, r)}. {again(items[k])}\n{prose(9, r)}" for k in range(4)} | {10 + k: items[k] for k in range(6)}
+    texts |= {20 + k: f"{prose(8, r)} . {again(items[k], True)} {prose(4, r)}" for k in range(4)}  # one value for all: not the same question
+    texts |= {30: f"{prose(9, r)}. Ok then. {prose(9, r)}", 31: f"{prose(9, r)}. so ok then we {prose(9, r)}", 32: f"{prose(5, r)} 7 8 9 {prose(5, r)}", 33: f"{prose(5, r)}\n7 8 9\n{prose(5, r)}", 34: "Compute 12 + 13 and", 35: "1 + 2 - 3 * 4"}
+    want = {k: [k] for k in range(4)} | {10 + k: [k] for k in range(6)} | {30: [4], 33: [5]}
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for bound in (decontaminate.MAX_HASHES, 0):
+        monkeypatch.setattr(decontaminate, "MAX_HASHES", bound)
+        got = {x.doc_id: x.items for x in decontaminate.judge(df, bench).where("contaminated").collect()}
+        assert got == want
+
+
 def test_slots():
     fit = lambda *pairs: decontaminate.consistent(iter(pairs))
     assert fit(('["15"]', '["31"]'), ('["15", "27"]', '["31", "9"]')) == (2, False)
-    assert fit(('["15"]', '["31"]'), ('["15"]', '["32"]')) == (1, False) and fit(('["a"]', '["x"]'), ('["b"]', '["x"]')) == (1, False)
+    assert fit(('["15"]', '["31"]'), ('["15"]', '["32"]')) == (1, False) and fit(('["a"]', '["x"]'), ('["b"]', '["x"]'), ('["c"]', '["x"]')) == (0, False)
     assert fit(("[]", "[]"), ('["7"]', '["7"]')) == (2, True)
 
 
@@ -633,4 +663,7 @@ def test_top_k_edges(spark):
     s = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], s), lambda c: c % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [1.0])], s)
-    assert [tuple(x) for x in topk.top_k(few, lambda c: c % 50 == 0).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
+    assert sorted(tuple(x) for x in topk.top_k(few, lambda c: c % 50 == 0).collect()) == [(0, 1, 1, 256 * 128 + 512 * 128), (0, 2, 2, 256 * 256)]
+    mixed = spark.createDataFrame([(0, [-1.0, 2.0, 0.5]), (1, []), (2, [-3.0]), (3, [0.0, 1.0, 1.0, 9.0]), (4, None)], s)
+    assert sorted(tuple(x) for x in topk.top_k(mixed, lambda c: c % 50 == 0).collect()) == [(0, 1, 2, 768 * 256), (0, 2, 3, 512 * 256 + 128 * 256), (0, 3, 1, 0)]
+    assert topk.top_k(spark.createDataFrame([(0, []), (50, [])], s), lambda c: c % 50 == 0).count() == 2
