@@ -179,6 +179,37 @@ def test_quality_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.keep}
 
 
+def test_quality_views_teach_each_other(spark):
+    """Few labels, two views that know different things: both are told, and both judge the other documents better than before."""
+    r = random.Random(21)
+    marks = {1: [f"fine{c}" for c in "abcdefgh"], 0: [f"foul{c}" for c in "abcdefgh"]}
+
+    def row(k):
+        good = int(r.random() < 0.6)
+        words = prose(25, r).split() + r.sample(marks[good], r.choice([1, 2])) + ([r.choice(marks[1 - good])] if r.random() < 0.4 else [])
+        r.shuffle(words)
+        site = r.choice(["a", "b", "c"] if (good == 1) == (r.random() < 0.9) else ["x", "y", "z"])
+        return (k, " ".join(words), "en", site, 100), good
+
+    rows = [row(k) for k in range(2000)]
+    docs = spark.createDataFrame([d for d, _ in rows], DOCS)
+    labels = spark.createDataFrame([(k, g, 0) for k, (_, g) in enumerate(rows[:300])], "doc_id long, quality int, toxic int")
+    features, sample, y, hold, ids = quality.labelled_sample(docs, labels)
+    before = quality.Model(features, sample, y, hold)
+    after, table = quality.trained(docs, labels)
+    assert len(after.told[0]) == len(after.told[1]) == 2 * quality.QUOTA * (quality.ROUNDS - 1)
+    assert all(i >= 300 for t in after.told for i, _ in t) and min(after.w_both[:2]) >= 0
+    rest = [x for x in table.collect() if x.doc_id >= 300]
+    gold = np.array([rows[x.doc_id][1] for x in rest])
+    blobs = [[bytes(x[k]) for x in rest] for k in (2, 3, 4)]
+    loss = lambda z: float(np.mean(np.logaddexp(0, np.where(gold == 1, -z, z))))
+    then, now = [loss(z) for z in before.logits(*blobs)], [loss(z) for z in after.logits(*blobs)]
+    assert now[0] < then[0] and now[1] < then[1] + 0.01, (then, now)
+    score = after.score(list(zip(*blobs)))[2]
+    right = lambda p: ((p >= 0.5) == (gold == 1)).mean()
+    assert right(score) >= 0.9 and right(score) >= max(right(quality.sigmoid(z)) for z in before.logits(*blobs)), right(score)
+
+
 def test_quality_edges(spark):
     rows, _ = quality_rows()
     docs, none = spark.createDataFrame(rows[:5], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
