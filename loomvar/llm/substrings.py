@@ -4,20 +4,22 @@ A window is `width` consecutive words. Each window is filed under its anchor, th
 it, so that equal windows have equal anchors at equal offsets; neighbouring windows mostly share an anchor, and only anchors
 are indexed (about one in fourteen words). The windows of one anchor form a block, whose hash stands for all of them.
 
-Snapshot (`cut_texts`): one pass writes the anchors as packed runs, sorted by fingerprint within a bucket; the runs of a
-bucket are merged. An anchor that occurs once has no repeated window. If all occurrences of an anchor have one block hash,
-all windows of its blocks are repeated. The others are verified window by window: their hashes (of 64 and of 32 bit) are
-counted, with partial aggregation, and those that occur twice or more mark their words. Windows are judged on the input alone.
+The log (`FingerprintLog`): every batch of documents leaves one immutable run of its anchors and their blocks, packed and
+sorted by anchor within buckets. A new batch's run is merge-joined with the runs of history, bucket by bucket: an anchor that
+occurs again, in the batch or in history, reports all its occurrences, so that documents of earlier batches are marked too.
+When there are more than FAN_IN runs, the same merge writes them as one (compaction). If all occurrences of an anchor have one
+block hash, all windows of its blocks are repeated. Otherwise they are verified window by window: their hashes (of 64 and of
+32 bit) are counted, with partial aggregation, and those that occur twice or more mark their words.
 
-Increments (`FingerprintLog`): every batch of documents leaves one immutable run of distinct window hashes, sorted. A new
-batch is merge-joined with the runs before it by the first hash and verified by the second; runs are compacted into one when
-there are more than `fan_in`.
+`cut_texts` sends a table through a log in BATCHES batches, by hash, and cuts what the log reports out of the texts. Windows
+are judged on the input alone: in how many batches it comes does not matter.
 
-Spread: an anchor with more than HOT occurrences in a batch of texts is summed up there: only its least and greatest block
+Spread: an anchor with more than HOT occurrences in a piece of a batch is summed up there: only its least and greatest block
 travel, and its occurrences ask for the verdict by a join that the adaptive planner can split. So what a bucket gathers of
-one anchor is a small share of the batches, not of the rows. Windows are counted with partial aggregation. A document's
-positions are the only other group that is gathered. A text is shuffled once to meet its anchors; only documents with
-unverified anchors are shuffled again.
+one anchor is a small share of the pieces, not of the rows. Windows are counted with partial aggregation. A document's
+positions are the only other group that is gathered. A bucket is a fixed share of the documents, and buckets are dealt to a
+bounded number of tasks, which take one after the other. A text is shuffled once to meet its anchors; only documents with
+unverified anchors are shuffled again. Tables of the log go when all that was made of them is stored.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Nulls: a null text has no words. A null doc_id takes part. Repeated rows repeat
 all their windows. An empty table gives an empty result. Extra columns are ignored. A text shorter than a window has none.
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import few, sliced, stored
+from loomvar.llm.common import forget, gathered, partitions, sliced, stored
 
 WIDTH, ANCHOR = 35, 8
 POSITION_BITS = 28
@@ -116,14 +118,22 @@ def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
 
 
 HOT = 64
+BATCHES, FAN_IN = 3, 1
 BATCH_WORDS, BATCH_DOCS = 2_000_000, 60_000
 NO_OWNER = 0xFFFF
 DOCS_PER_BUCKET = 16_000
 EXCHANGE = "bucket int, planes binary, block binary, first binary, extent binary, own binary, ids binary, anchor long, k1 long, k2 long, at int, upto int"
 EXCHANGE_SCHEMA = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("planes", "block", "first", "extent", "own", "ids")), ("anchor", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("upto", pa.int32())])
 #: hits: int32 triples (first window, last window, mixed); rows with an anchor: occurrences of hot anchors and their verdicts
-FOUND = "k1 long, k2 long, hits binary, anchor long, at int, upto int, mixed boolean"
-FOUND_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hits", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("upto", pa.int32()), ("mixed", pa.bool_())])
+FOUND_COLUMNS = ["k1", "k2", "hits", "anchor", "at", "upto", "mixed"]
+RUN_COLUMNS = ["bucket", "planes", "block", "first", "extent", "own", "ids"]
+FOUND = "k1 long, k2 long, hits binary, anchor long, at int, upto int, mixed boolean, bucket int, planes binary, block binary, first binary, extent binary, own binary, ids binary"
+FOUND_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hits", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("upto", pa.int32()), ("mixed", pa.bool_()), ("bucket", pa.int32()), *((n, pa.binary()) for n in RUN_COLUMNS[1:])])
+
+
+def found_rows(n: int, **columns) -> pa.RecordBatch:
+    """n rows of FOUND with these columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in FOUND_SCHEMA], schema=FOUND_SCHEMA)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -165,14 +175,16 @@ def packed_runs(keys: list[tuple[int, int]], held: list[tuple[np.ndarray, ...]],
         none = used == NO_OWNER
         local = np.where(none[local], NO_OWNER, local).astype(np.uint16)
         planes = (key[part] // np.uint64(buckets)).astype(">u8").view(np.uint8).reshape(-1, 8)
-        rows.append({"bucket": k, "planes": np.ascontiguousarray(planes.T).tobytes(), "block": block[part].tobytes(), "first": first[part].astype(np.int32).tobytes(), "extent": (last[part] - first[part]).astype(np.uint8).tobytes(), "own": local.tobytes(), "ids": ids[used[~none]].tobytes()})
+        rows.append({"bucket": k, "planes": np.ascontiguousarray(planes.T).tobytes(), "block": block[part].tobytes(), "first": first[part].astype(np.int32).tobytes(), "extent": (last[part] - first[part]).astype(np.uint16).tobytes(), "own": local.tobytes(), "ids": ids[used[~none]].tobytes()})
     yield pa.RecordBatch.from_pylist(rows, EXCHANGE_SCHEMA)
 
 
 def anchor_runs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """EXCHANGE rows of keyed documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, words = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for k1, k2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 h = word_hashes(words_of(raw.as_py()))
                 _, anchor, first, last, block = anchors(h, width)
@@ -186,101 +198,101 @@ def anchor_runs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if held:
             yield from packed_runs(keys, held, buckets)
 
-    return keyed(docs).select("k1", "k2", "text").mapInArrow(run, EXCHANGE)
-
-
-def merged_runs(runs: DataFrame, buckets: int) -> DataFrame:
-    """FOUND rows: windows of repeated anchors by document, hot occurrences as they are, verdicts on hot anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            is_run = pa.compute.is_valid(batch.column("planes"))
-            loose = batch.filter(pa.compute.invert(is_run))
-            if loose.num_rows:
-                yield pa.RecordBatch.from_arrays([loose.column("k1"), loose.column("k2"), pa.nulls(loose.num_rows, pa.binary()), loose.column("anchor"), loose.column("at"), loose.column("upto"), pa.nulls(loose.num_rows, pa.bool_())], schema=FOUND_SCHEMA)
-            for r in batch.filter(is_run).select(["bucket", "planes", "block", "first", "extent", "own", "ids"]).to_pylist():
-                n = len(r["own"]) // 2
-                key = np.frombuffer(r["planes"], np.uint8).reshape(8, n).T.copy().reshape(-1).view(">u8").astype(np.uint64)
-                ids = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
-                parts.append((key, np.frombuffer(r["block"], np.int64), np.frombuffer(r["first"], np.int32), np.frombuffer(r["extent"], np.uint8), np.frombuffer(r["own"], np.uint16), ids, r["bucket"]))
-        if not parts:
-            return
-        base = np.cumsum([0] + [len(p[5]) for p in parts])
-        ids = np.concatenate([p[5] for p in parts])
-        bucket = parts[0][6]  # a partition holds one bucket
-        key, block, first, extent = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        own = np.concatenate([np.where(p[4] == NO_OWNER, -1, p[4].astype(np.int64) + b) for p, b in zip(parts, base)])
-        del parts
-        order = np.lexsort((block, key))
-        key, block, first, extent, own = key[order], block[order], first[order], extent[order], own[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(start, len(key)))
-        mixed = np.repeat(block[start] != block[start + size - 1], size)
-        hot = np.flatnonzero(own < 0)
-        if len(hot):
-            told, at = np.unique(key[hot], return_index=True)
-            anchor = (told * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)
-            none = pa.nulls(len(told), pa.int64())
-            short = pa.nulls(len(told), pa.int32())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(told), pa.binary()), pa.array(anchor), short, short, pa.array(mixed[hot[at]])], schema=FOUND_SCHEMA)
-        keep = np.flatnonzero(np.repeat(size > 1, size) & (own >= 0))
-        keep = keep[np.argsort(own[keep], kind="stable")]
-        triples = np.column_stack((first[keep], first[keep] + extent[keep], mixed[keep])).astype(np.int32)
-        edge = np.flatnonzero(np.concatenate(([True], own[keep][1:] != own[keep][:-1]))) if len(keep) else np.empty(0, np.int64)
-        owners = own[keep][edge] if len(keep) else edge
-        for lo in range(0, len(edge), 20_000):
-            part = range(lo, min(lo + 20_000, len(edge)))
-            blobs = [triples[edge[k] : edge[k + 1] if k + 1 < len(edge) else None].tobytes() for k in part]
-            who = ids[owners[lo : lo + len(blobs)]]
-            none, short = pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(blobs, pa.binary()), none, short, short, pa.nulls(len(blobs), pa.bool_())], schema=FOUND_SCHEMA)
-
-    return runs.repartitionById(buckets, F.col("bucket")).mapInArrow(run, FOUND)
+    return docs.select("k1", "k2", "text").mapInArrow(run, EXCHANGE)
+
+
+def merge_bucket(bucket: int, parts: list[tuple], buckets: int, compact: bool) -> Iterator[pa.RecordBatch]:
+    """FOUND rows of one bucket. parts: (keys, blocks, first windows, extents, owners, ids of owners, whether it is new)."""
+    base = np.cumsum([0] + [len(p[5]) for p in parts])
+    ids = np.concatenate([p[5] for p in parts])
+    key, block, first, extent = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    own = np.concatenate([np.where(p[4] == NO_OWNER, -1, p[4].astype(np.int64) + b) for p, b in zip(parts, base)])
+    new = np.repeat([p[6] for p in parts], [len(p[0]) for p in parts])
+    order = np.lexsort((block, key))
+    key, block, first, extent, own, new = key[order], block[order], first[order], extent[order], own[order], new[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    mixed = np.repeat(block[start] != block[start + size - 1], size)
+    fresh = np.repeat(np.logical_or.reduceat(new, start), size)
+    hot = np.flatnonzero((own < 0) & fresh)
+    if len(hot):
+        told, at = np.unique(key[hot], return_index=True)
+        yield found_rows(len(told), anchor=(told * np.uint64(buckets) + np.uint64(bucket)).view(np.int64), mixed=mixed[hot[at]])
+    keep = np.flatnonzero(np.repeat(size > 1, size) & fresh & (own >= 0))
+    keep = keep[np.argsort(own[keep], kind="stable")]
+    triples = np.column_stack((first[keep], first[keep] + extent[keep], mixed[keep])).astype(np.int32)
+    edge = np.flatnonzero(np.concatenate(([True], own[keep][1:] != own[keep][:-1]))) if len(keep) else np.empty(0, np.int64)
+    owners = own[keep][edge] if len(keep) else edge
+    for lo in range(0, len(edge), 20_000):
+        part = range(lo, min(lo + 20_000, len(edge)))
+        blobs = [triples[edge[k] : edge[k + 1] if k + 1 < len(edge) else None].tobytes() for k in part]
+        who = ids[owners[lo : lo + len(blobs)]]
+        yield found_rows(len(blobs), k1=who[:, 0], k2=who[:, 1], hits=blobs)
+    if compact:  # the same occurrences as one sorted run; an owner's number has 16 bits, so there may be several pieces
+        for lo in range(0, max(len(ids), 1), BATCH_DOCS):
+            some = np.flatnonzero((own >= lo) & (own < lo + BATCH_DOCS) | (own < 0) & (lo == 0))
+            if len(some):
+                local = np.where(own[some] < 0, NO_OWNER, own[some] - lo).astype(np.uint16)
+                planes = np.ascontiguousarray(key[some].astype(">u8").view(np.uint8).reshape(-1, 8).T)
+                yield found_rows(1, bucket=[bucket], planes=[planes.tobytes()], block=[block[some].tobytes()], first=[first[some].astype(np.int32).tobytes()], extent=[extent[some].astype(np.uint16).tobytes()], own=[local.tobytes()], ids=[ids[lo : lo + BATCH_DOCS].tobytes()])
+
+
+def unpacked(r: dict) -> tuple:
+    n = len(r["own"]) // 2
+    key = np.frombuffer(r["planes"], np.uint8).reshape(8, n).T.copy().reshape(-1).view(">u8").astype(np.uint64)
+    return key, np.frombuffer(r["block"], np.int64), np.frombuffer(r["first"], np.int32), np.frombuffer(r["extent"], np.uint16), np.frombuffer(r["own"], np.uint16), np.frombuffer(r["ids"], np.int64).reshape(-1, 2), r["new"]
 
 
 class FingerprintLog:
-    """Sorted immutable runs of distinct window hashes (h1, h2) in the shared folder."""
+    """Sorted immutable runs of the anchors of all documents so far, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, fan_in: int = 4):
-        self.spark, self.width, self.fan_in = spark, width, fan_in
+    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int = 8, fan_in: int = FAN_IN):
+        self.spark, self.width, self.buckets, self.fan_in = spark, width, buckets, fan_in
         self.runs: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
+        self.compactions = 0
 
-    def windows(self, docs: DataFrame) -> DataFrame:
-        """doc_id, k1, k2, at, h1, h2 of every window."""
-        width = self.width
-        schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Append a batch of keyed documents. FOUND rows: by document (of the batch or of history) the blocks of anchors that
+        the batch has and that occur twice or more, occurrences of hot anchors as they are, and verdicts on hot anchors."""
+        buckets, compact = self.buckets, len(self.runs) >= self.fan_in
+        new = stored(anchor_runs(docs, self.width, buckets), "run")
+        self.tables.append(new)
+        all_ = new.withColumn("new", F.lit(True))
+        for old in self.runs:
+            all_ = all_.unionByName(old.where("planes is not null").withColumn("new", F.lit(False)), allowMissingColumns=True)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, parts = None, []
             for batch in batches:
-                for doc_id, k1, k2, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-                    h = word_hashes(words_of(raw.as_py()))
-                    at = np.arange(max(len(h) - width + 1, 0))
-                    full = lambda x: pa.array(np.full(len(at), x or 0), pa.int64(), mask=np.full(len(at), x is None))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([full(doc_id), full(k1), full(k2), pa.array(at, pa.int32()), *(pa.array(Rolling(h, b)(at, at + width).view(np.int64)) for b in BASES)], schema=schema)
-
-        return keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, at int, h1 long, h2 long")
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Append a batch; (doc_id, k1, k2, at) of its windows that an earlier batch has, or that occur in it twice."""
-        windows = stored(self.windows(docs), "windows")
-        run = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).sortWithinPartitions("h1"), "run")
-        old = [run.hint("merge").join(r.select("h1", F.col("h2").alias("also")), "h1").where("h2 = also").select("h1", "h2") for r in self.runs]
-        again = run.where("n > 1").select("h1", "h2")
-        for x in old:
-            again = again.unionByName(x)
-        again = stored(again.distinct(), "repeated")
-        self.runs.append(run)
-        if len(self.runs) > self.fan_in:
-            self.compact()
-        return windows.join(again, ["h1", "h2"]).select("doc_id", "k1", "k2", "at")
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        whole = self.runs[0]
-        for r in self.runs[1:]:
-            whole = whole.unionByName(r)
-        self.runs = [stored(whole.groupBy("h1", "h2").agg(F.sum("n").alias("n")).sortWithinPartitions("h1"), "run")]
+                is_run = pa.compute.is_valid(batch.column("planes"))
+                loose = batch.filter(pa.compute.invert(is_run))
+                if loose.num_rows:
+                    yield found_rows(loose.num_rows, **{n: loose.column(n) for n in ("k1", "k2", "anchor", "at", "upto")})
+                for r in batch.filter(is_run).select([*RUN_COLUMNS, "new"]).to_pylist():
+                    if parts and r["bucket"] != held:
+                        yield from merge_bucket(held, parts, buckets, compact)
+                        parts = []
+                    held = r["bucket"]
+                    parts.append(unpacked(r))
+            if parts:
+                yield from merge_bucket(held, parts, buckets, compact)
+
+        tasks = min(buckets, 4 * max(partitions(self.spark), 8))
+        dealt = all_.repartitionById(tasks, F.col("bucket") % tasks)
+        merged = stored((dealt if tasks == buckets else dealt.sortWithinPartitions("bucket")).mapInArrow(run, FOUND), "found")
+        self.tables.append(merged)
+        if compact:
+            self.runs = [merged.where("bucket is not null").select(*RUN_COLUMNS)]
+            self.compactions += 1
+        else:
+            self.runs.append(new)
+        return merged.where("bucket is null").select(*FOUND_COLUMNS)
+
+    def forget(self) -> None:
+        """Delete the log's tables."""
+        forget(*self.tables)
+        self.runs, self.tables = [], []
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
@@ -294,11 +306,14 @@ def covered(n: int, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarr
 PASS = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string, text binary, done_first array<int>, done_last array<int>, at array<int>, h1 array<long>, h2 array<int>"
 
 
-def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def cut_texts(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, k1, k2, n_words, n_removed, kept (the words left, joined by one space) of every document."""
-    buckets = max(8, docs.count() // DOCS_PER_BUCKET)
-    found = stored(merged_runs(anchor_runs(docs, width, buckets), buckets), "anchors")
-    verdicts = stored(found.where("anchor is not null and mixed is not null").groupBy("anchor").agg(F.max("mixed").alias("told")).coalesce(few(docs.sparkSession)), "verdicts")
+    log = FingerprintLog(docs.sparkSession, width, max(8, docs.count() // DOCS_PER_BUCKET), fan_in)
+    found = None
+    for k in range(batches):
+        part = log.add(keyed(docs).where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k))
+        found = part if found is None else found.unionByName(part)
+    verdicts = stored(gathered(found.where("anchor is not null and mixed is not null").groupBy("anchor").agg(F.max("mixed").alias("told"))), "verdicts")
     loose = found.where("anchor is not null and mixed is null").select("anchor", "k1", "k2", "at", "upto").join(verdicts, "anchor")
     loose = loose.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "upto", "told")).alias("loose"))
     hits = found.where("hits is not null").groupBy("k1", "k2").agg(F.collect_list("hits").alias("hits")).join(loose, ["k1", "k2"], "full_outer")
@@ -306,7 +321,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def split_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish documents without mixed anchors; hash the windows of mixed anchors of the others."""
         schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("done_first", pa.list_(pa.int32())), ("done_last", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int32()))])
-        for batch in it:
+        for batch in sliced(it):
             out = []
             for doc_id, k1, k2, raw, found, more in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 raw = raw.as_py()
@@ -330,6 +345,8 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     both = keyed(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "hits", "loose")
     # row: a short name for a document in the exchange of windows, fixed by the table
     passed = stored(both.mapInArrow(split_pass, PASS).withColumn("row", F.monotonically_increasing_id()), "split")
+    log.forget()
+    forget(verdicts)
     final = ["doc_id", "k1", "k2", "n_words", "n_removed", "kept"]
     ready = passed.where("at is null").select(*final)
     open_ = passed.where("at is not null")
@@ -340,7 +357,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def last_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-        for batch in it:
+        for batch in sliced(it):
             out = []
             for r in batch.to_pylist():
                 words = words_of(r["text"])
