@@ -11,7 +11,7 @@ from loomvar.llm.common import table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngramjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
