@@ -14,21 +14,26 @@ def last_fit(n: Column, test) -> Column:
     return F.array_max(F.filter(F.sequence(F.lit(0), n), test))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_variant(pos: Column, ref: Column, alt: Column) -> Column:
     """struct(pos, ref, alt): common suffix, then common prefix trimmed while both alleles together keep a base to lose."""
-    whole = F.length(ref) + F.length(alt)
-    most = F.least(F.length(ref), F.length(alt))
-    s = last_fit(most, lambda k: (F.right(ref, k) == F.right(alt, k)) & ((k == 0) | (whole - 2 * (k - 1) > 2)))
-    r1, a1 = F.substr(ref, F.lit(1), F.length(ref) - s), F.substr(alt, F.lit(1), F.length(alt) - s)
-    rest = F.length(r1) + F.length(a1)
-    p = last_fit(F.least(F.length(r1), F.length(a1)), lambda k: (F.left(r1, k) == F.left(a1, k)) & ((k == 0) | (rest - 2 * (k - 1) > 2)))
-    out = F.struct((pos + p).cast("long").alias("pos"), F.substr(r1, p + 1, F.length(r1)).alias("ref"), F.substr(a1, p + 1, F.length(a1)).alias("alt"))
-    return F.when(ref.isNotNull() & alt.isNotNull() & pos.isNotNull(), out)
 
+    def fit(r: Column, a: Column, side) -> Column:
+        whole = F.length(r) + F.length(a)
+        return last_fit(F.least(F.length(r), F.length(a)), lambda k: (side(r, k) == side(a, k)) & ((k == 0) | (whole - 2 * (k - 1) > 2)))
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once a row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def cut(s: Column) -> Column:
+        rest = F.struct(F.substr(ref, F.lit(1), F.length(ref) - s).alias("r"), F.substr(alt, F.lit(1), F.length(alt) - s).alias("a"))
+        return let(rest, lambda x: let(fit(x["r"], x["a"], F.left), lambda p: F.struct((pos + p).cast("long").alias("pos"), F.substr(x["r"], p + 1, F.length(x["r"])).alias("ref"), F.substr(x["a"], p + 1, F.length(x["a"])).alias("alt"))))
+
+    # nothing to trim: no base to lose, or other bases at both ends
+    done = (F.length(ref) + F.length(alt) <= 2) | ((F.left(ref, F.lit(1)) != F.left(alt, F.lit(1))) & (F.right(ref, F.lit(1)) != F.right(alt, F.lit(1))))
+    same = F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"))
+    return F.when(ref.isNotNull() & alt.isNotNull() & pos.isNotNull(), F.when(done, same).otherwise(let(fit(ref, alt, F.right), cut)))
 
 
 def changed(pos: Column, ref: Column, alt: Column) -> Column:

@@ -1,6 +1,6 @@
 """Consequence terms of one changed interval on one transcript without bases, as column expressions.
 
-The same rules as the kernel's, for a change without unchanged bases in it, on a transcript without short introns. Splice
+The same rules as the kernel's, on a transcript without short introns. Splice
 terms come from one fold over the introns near the change, as bits; what follows is plain arithmetic over flags.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomvar.functions.alleles import let
 from loomvar.functions.kernel import SHORT
 from loomvar.functions.so_terms import IMPACT, RANK
 
@@ -27,11 +28,20 @@ def has_short(gaps: Column) -> Column:
     return F.exists(gaps, lambda x: x["j"] - x["i"] + 1 <= SHORT)
 
 
-def gapless(ref: Column, alt: Column) -> Column:
-    """Whether a trimmed change has no unchanged base within it."""
+PARTS = "array<struct<s:long,e:long>>"
+
+
+def parts(s: Column, e: Column, ref: Column, alt: Column) -> Column:
+    """array<struct<s, e>>: the changed stretches of a trimmed change; a substitution of several bases has one for each run of
+    bases that differ."""
     n = F.length(ref)
-    same = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(ref, k, F.lit(1)) == F.substr(alt, k, F.lit(1)))
-    return F.when((n == F.length(alt)) & (n >= 2), ~same).otherwise(True)
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(ref, k, F.lit(1)) != F.substr(alt, k, F.lit(1)))
+
+    def runs(d: Column) -> Column:
+        first, last = F.filter(d, lambda k: ~F.array_contains(d, k - 1)), F.filter(d, lambda k: ~F.array_contains(d, k + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct((s + a - 1).cast("long").alias("s"), (s + b - 1).cast("long").alias("e")))
+
+    return F.when((n == F.length(alt)) & (n >= 3), let(differ, runs)).otherwise(F.array(F.struct(s.alias("s"), e.alias("e")))).cast(PARTS)
 
 
 def bit(test: Column, value: int) -> Column:
@@ -64,6 +74,15 @@ def splice_bits(s: Column, e: Column, strand: Column, gaps: Column, exonic: Colu
     return F.when(F.size(near) > 0, F.aggregate(near, F.lit(0), lambda acc, x: acc.bitwiseOR(of(x)))).otherwise(0)
 
 
+def all_splice_bits(stretches: Column, strand: Column, gaps: Column, exons: Column) -> Column:
+    """The bits of all changed stretches of a variant."""
+    each = lambda p: splice_bits(p["s"], p["e"], strand, gaps, F.exists(exons, lambda x: (p["s"] <= x["end"]) & (x["start"] <= p["e"])))
+    return F.aggregate(stretches, F.lit(0), lambda acc, p: acc.bitwiseOR(each(p)))
+
+
+SPLICE = {"splice_donor_variant": DONOR, "splice_acceptor_variant": ACCEPTOR, "splice_donor_5th_base_variant": FIFTH, "splice_donor_region_variant": DONOR_REGION, "splice_polypyrimidine_tract_variant": TRACT, "intron_variant": INTRON, "splice_region_variant": SPLICE_REGION}
+
+
 def exon_facts(s: Column, e: Column, exons: Column, coding: Column, cds_start: Column, cds_end: Column) -> Column:
     """struct(exonic, low, high, touches, whole): whether the change overlaps an exon, untranslated bases below and above the
     coding ones, coding bases, and whether one coding exon holds it (for an insertion with the bases on both sides)."""

@@ -13,7 +13,8 @@ from loomvar.functions import alleles, kernel
 from loomvar.functions.so_terms import IMPACT, RANK
 from loomvar.operators import annotate, intervals, regions
 from loomvar.plans import projection as pj
-from loomvar.plans import reports
+from loomvar.plans import reports, scratch
+from loomvar.sources import tables, vcf
 from loomvar.sources.model import GeneModel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,37 +152,37 @@ def exon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GeneModel(pj.model_table(spark, sf_dir)).exons()
 
 
-SPLICE = pj.ctes("variants", "transcripts") + f"""
-, pairs AS (SELECT v.vkey, v.line, v.pos AS p, t.tx_idx, t.strand, t.start, t.unit FROM variants v JOIN transcripts t ON {NEAR} WHERE length(v.ref) = 1 AND length(v.alt) = 1),
-i AS (SELECT *, start + 2 * k * unit + unit AS i, start + 2 * k * unit + 2 * unit - 1 AS j FROM pairs, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks),
-d AS (SELECT *, CASE WHEN strand > 0 THEN p - i ELSE j - p END AS a, CASE WHEN strand > 0 THEN j - p ELSE p - i END AS b FROM i WHERE p BETWEEN i - 3 AND j + 3),
-f AS (SELECT *, a BETWEEN 0 AND 1 AS donor, b BETWEEN 0 AND 1 AS acceptor, a = 4 AS fifth, a IN (2, 3, 5) AS reg FROM d),
-terms AS (SELECT DISTINCT vkey, line, tx_idx, UNNEST(list_filter([CASE WHEN donor THEN 'splice_donor_variant' END, CASE WHEN acceptor THEN 'splice_acceptor_variant' END,
- CASE WHEN fifth THEN 'splice_donor_5th_base_variant' END, CASE WHEN reg THEN 'splice_donor_region_variant' END, CASE WHEN b BETWEEN 2 AND 16 AND a >= 0 THEN 'splice_polypyrimidine_tract_variant' END,
- CASE WHEN a >= 2 AND b >= 2 THEN 'intron_variant' END,
- CASE WHEN NOT donor AND NOT acceptor AND NOT fifth AND NOT reg AND (a BETWEEN -3 AND -1 OR a BETWEEN 2 AND 7 OR b BETWEEN 2 AND 7 OR b BETWEEN -3 AND -1) THEN 'splice_region_variant' END], lambda x: x IS NOT NULL)) AS term FROM f)
-SELECT vkey, line, tx_idx, string_agg(term, '&' ORDER BY term) AS terms FROM terms GROUP BY vkey, line, tx_idx"""
-
-
-@query(SPLICE)
+#: Changes without the bases that stay: c (s, e, r, a); parts: their changed stretches.
+CHANGES = """
+k AS (SELECT *, list_max(list_filter(range(0, least(length(ref), length(alt)) + 1), lambda n: left(ref, n) = left(alt, n))) AS k, row_number() OVER (ORDER BY vkey, line, pos, ref, alt) AS rid FROM variants),
+k1 AS (SELECT *, substr(ref, k + 1) AS r1, substr(alt, k + 1) AS a1 FROM k),
+q AS (SELECT *, list_max(list_filter(range(0, least(length(r1), length(a1)) + 1), lambda n: right(r1, n) = right(a1, n))) AS q FROM k1),
+c AS (SELECT vkey, line, rid, chrom, pos, end_pos, pos + k AS s, pos + k + length(r1) - q - 1 AS e, left(r1, length(r1) - q) AS r, left(a1, length(a1) - q) AS a FROM q WHERE length(r1) > q OR length(a1) > q),
+d AS (SELECT vkey, line, rid, s + i - 1 AS p FROM (SELECT *, unnest(range(1, length(r) + 1)) AS i FROM c WHERE length(r) = length(a) AND length(r) > 1) WHERE substr(r, CAST(i AS INT), 1) <> substr(a, CAST(i AS INT), 1)),
+parts AS (SELECT vkey, line, rid, s AS ps, e AS pe FROM c WHERE length(r) <> length(a) OR length(r) < 2
+ UNION ALL SELECT vkey, line, rid, min(p), max(p) FROM (SELECT *, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM d) GROUP BY vkey, line, rid, g),
+pairs AS (SELECT v.*, least(s, e) AS lo, greatest(s, e) AS hi, t.tx_idx, t.strand, t.start, t.end_pos AS tx_end, t.coding, t.unit, t.biotype,
+ t.start + CAST(floor(t.unit / 2) AS BIGINT) AS cs, t.start + 6 * t.unit + CAST(floor(t.unit / 2) AS BIGINT) AS ce FROM c v JOIN transcripts t ON NEAR),
+inside AS (SELECT * FROM pairs WHERE hi >= start AND lo <= tx_end),
+gaps AS (SELECT i.vkey, i.line, i.rid, i.tx_idx, strand > 0 AS fwd, ps, pe, ps > pe AS ins, start + 2 * n * unit + unit AS i, start + 2 * n * unit + 2 * unit - 1 AS j,
+ list_contains(list_transform([0, 1, 2, 3], lambda m: ps <= start + 2 * m * unit + unit - 1 AND start + 2 * m * unit <= pe), true) AS exonic
+ FROM inside i JOIN parts p ON p.rid = i.rid, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) ns),
+f AS (SELECT *, CASE WHEN fwd THEN ps <= i + 1 AND i <= pe ELSE ps <= j AND j - 1 <= pe END AS donor, CASE WHEN fwd THEN ps <= j AND j - 1 <= pe ELSE ps <= i + 1 AND i <= pe END AS acceptor,
+ CASE WHEN fwd THEN ps <= i + 4 AND i + 4 <= pe ELSE ps <= j - 4 AND j - 4 <= pe END AS fifth, CASE WHEN fwd THEN ps <= i + 5 AND i + 2 <= pe ELSE ps <= j - 2 AND j - 5 <= pe END AS reg,
+ NOT exonic AND least(ps, pe) <= CASE WHEN fwd THEN j - 2 ELSE i + 16 END AND greatest(ps, pe) >= CASE WHEN fwd THEN j - 16 ELSE i + 2 END AS tract,
+ (ps <= j - 2 AND i + 2 <= pe) OR (ins AND (ps = i + 2 OR pe = j - 2)) AS within,
+ (ps <= i - 1 AND i - 3 <= pe) OR (ps <= i + 7 AND i + 2 <= pe) OR (ps <= j - 2 AND j - 7 <= pe) OR (ps <= j + 3 AND j + 1 <= pe) OR (ins AND (ps IN (i, i + 2) OR pe IN (j, j - 2))) AS edge
+ FROM gaps WHERE least(ps, pe) <= j + 3 AND greatest(ps, pe) >= i - 3),
+splice AS (SELECT DISTINCT vkey, line, rid, tx_idx, UNNEST(list_filter([CASE WHEN donor THEN 'splice_donor_variant' END, CASE WHEN acceptor THEN 'splice_acceptor_variant' END,
+ CASE WHEN fifth THEN 'splice_donor_5th_base_variant' END, CASE WHEN reg AND NOT fifth THEN 'splice_donor_region_variant' END, CASE WHEN tract THEN 'splice_polypyrimidine_tract_variant' END, CASE WHEN within THEN 'intron_variant' END,
+ CASE WHEN edge AND NOT donor AND NOT acceptor AND NOT reg AND NOT fifth THEN 'splice_region_variant' END], lambda x: x IS NOT NULL)) AS term FROM f)""".replace("NEAR", NEAR)
+
+
+@query(pj.ctes("variants", "transcripts") + f", {CHANGES} SELECT vkey, line, tx_idx, string_agg(term, '&' ORDER BY term) AS terms FROM splice GROUP BY vkey, line, rid, tx_idx")
 def splice_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splice and intron terms of single-base variants, from the kernel."""
-    tx = pj.with_exons(pj.transcripts(spark, sf_dir)).select("tx_idx", "chrom", "start", "end_pos", "strand", "exons")
-    v = pj.variants(spark, sf_dir).where("length(ref) = 1 and length(alt) = 1").select(*KEY, "chrom", "pos", "end_pos")
-    pairs = intervals.candidate_pairs(v, tx).where("pos >= tx_start - 3 and pos <= tx_end + 3")
-    schema = pa.schema([("vkey", pa.int64()), ("line", pa.int64()), ("tx_idx", pa.int64()), ("terms", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                t = kernel.Transcript("", "", r["tx_start"], r["tx_end"], r["strand"], exons=[(e["start"], e["end"]) for e in r["exons"]])
-                terms = kernel.splice_terms(t, r["pos"], r["pos"])
-                if terms:
-                    out.append({"vkey": r["vkey"], "line": r["line"], "tx_idx": r["tx_idx"], "terms": "&".join(sorted(terms))})
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return pairs.select(*KEY, "tx_idx", "pos", "tx_start", "tx_end", "strand", "exons").mapInArrow(run, "vkey long, line long, tx_idx long, terms string")
+    """Splice and intron terms of all variants, of every length."""
+    got = annotate.splice(pj.variants(spark, sf_dir), GeneModel(pj.model_table(spark, sf_dir)))
+    return got.select(*KEY, "tx_idx", "terms")
 
 
 def aa_sql(codon: str) -> str:
@@ -254,24 +255,70 @@ def haplotype_consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.haplotypes(phased, GeneModel(pj.model_table(spark, sf_dir)))
 
 
-@query()
+FLANK = """
+flank AS (SELECT rid, tx_idx, CASE WHEN (hi < start) = (strand > 0) THEN 'upstream_gene_variant' ELSE 'downstream_gene_variant' END AS term FROM pairs
+ WHERE (hi < start AND start - hi <= 5000) OR (lo > tx_end AND lo - tx_end <= 5000))"""
+
+#: Every rule for a transcript without bases, term by term, over all pairs.
+ALL_TERMS = f"""
+{FLANK},
+ex AS (SELECT i.*, start + 2 * n * unit AS x, start + 2 * n * unit + unit - 1 AS y FROM inside i, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ns),
+facts AS (SELECT rid, tx_idx, strand > 0 AS fwd, coding, s > e AS ins, lo, hi, cs, ce, biotype, length(a) - length(r) AS shift, bool_or(s <= y AND x <= e) AS exonic,
+ bool_or(greatest(x, lo) <= least(y, hi) AND greatest(x, lo) < cs) AS low, bool_or(greatest(x, lo) <= least(y, hi) AND least(y, hi) > ce) AS high,
+ bool_or(greatest(x, cs) <= hi AND lo <= least(y, ce)) AS touch, bool_or(x <= lo AND hi <= y) AS one_exon
+ FROM ex GROUP BY rid, tx_idx, strand, coding, s, e, lo, hi, cs, ce, biotype, r, a),
+more AS (SELECT *, coding AND exonic AND touch AND NOT (ins AND (hi <= cs OR lo >= ce)) AS touches, one_exon AND cs <= lo AND hi <= ce AS whole FROM facts),
+other AS (SELECT rid, tx_idx, UNNEST(list_filter([
+ CASE WHEN touches AND NOT whole THEN 'coding_sequence_variant' END, CASE WHEN touches AND whole AND shift % 3 <> 0 THEN 'frameshift_variant' END,
+ CASE WHEN touches AND whole AND shift % 3 = 0 AND shift > 0 THEN 'inframe_insertion' END, CASE WHEN touches AND whole AND shift % 3 = 0 AND shift < 0 THEN 'inframe_deletion' END,
+ CASE WHEN touches AND whole AND shift = 0 THEN 'missense_variant' END,
+ CASE WHEN coding AND exonic AND CASE WHEN fwd THEN low ELSE high END THEN '5_prime_UTR_variant' END, CASE WHEN coding AND exonic AND CASE WHEN fwd THEN high ELSE low END THEN '3_prime_UTR_variant' END,
+ CASE WHEN NOT coding AND exonic THEN 'non_coding_transcript_exon_variant' END,
+ CASE WHEN NOT coding AND (NOT exonic OR EXISTS (SELECT 1 FROM splice z WHERE z.rid = more.rid AND z.tx_idx = more.tx_idx AND z.term = 'intron_variant')) THEN 'non_coding_transcript_variant' END],
+ lambda x: x IS NOT NULL)) AS term FROM more),
+inner_terms AS (SELECT rid, tx_idx, term FROM splice UNION SELECT * FROM other),
+told AS (SELECT * FROM inner_terms UNION SELECT * FROM flank UNION SELECT DISTINCT rid, tx_idx, 'NMD_transcript_variant' FROM inner_terms JOIN more USING (rid, tx_idx) WHERE biotype = 'nonsense_mediated_decay'),
+so(term, impact, rank) AS (VALUES {SO_VALUES}),
+worst AS (SELECT rid, tx_idx, min_by(impact, rank) AS impact FROM told JOIN so USING (term) GROUP BY rid, tx_idx)"""
+
+
+@query(pj.ctes("variants", "transcripts") + f", {CHANGES}, {ALL_TERMS} SELECT term, impact, CAST(count(*) AS BIGINT) AS n FROM told JOIN worst USING (rid, tx_idx) GROUP BY term, impact")
 def annotate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole annotation, counted by term; tested against the kernel run pair by pair."""
+    """The whole annotation, counted by term and by the impact of the pair that has it."""
     got = annotate.annotate(pj.variants(spark, sf_dir), GeneModel(pj.model_table(spark, sf_dir)), hgvs=False)
     return got.select(F.explode("consequence").alias("term"), "impact").groupBy("term", "impact").agg(F.count("*").alias("n"))
 
 
-FLANKS = pj.ctes("variants", "transcripts") + f""", p AS (SELECT v.pos, t.start, t.end_pos AS tx_end, t.strand FROM variants v JOIN transcripts t ON {NEAR} WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt)
-SELECT CASE WHEN (pos < start) = (strand > 0) THEN 'upstream_gene_variant' ELSE 'downstream_gene_variant' END AS term, CAST(count(*) AS BIGINT) AS n FROM p WHERE (pos < start OR pos > tx_end) GROUP BY 1"""
-
-
-@query(FLANKS)
+@query(pj.ctes("variants", "transcripts") + f", {CHANGES}, {FLANK} SELECT term, CAST(count(*) AS BIGINT) AS n FROM flank GROUP BY term")
 def flank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upstream and downstream terms of single-base variants."""
-    v = pj.variants(spark, sf_dir).where("length(ref) = 1 and length(alt) = 1 and ref <> alt")
-    v = v.withColumn("end_pos", F.col("pos"))
-    got = annotate.annotate(v, GeneModel(pj.model_table(spark, sf_dir)), hgvs=False)
-    return got.select(F.explode("consequence").alias("term")).where("term in ('upstream_gene_variant', 'downstream_gene_variant')").groupBy("term").agg(F.count("*").alias("n"))
+    """Upstream and downstream terms of all variants."""
+    got = annotate.flanks(pj.variants(spark, sf_dir), GeneModel(pj.model_table(spark, sf_dir)))
+    return got.groupBy("term").agg(F.count("*").alias("n"))
+
+
+CODON = "concat(" + ", ".join(f"({pj.base('tx_idx', f'(cfirst + 3 * codon + {k})', 'cfirst', 'unit')})" for k in range(3)) + ")"
+CODED = f"""
+x AS (SELECT v.vkey, v.line, v.pos AS p, CASE WHEN t.strand > 0 THEN v.alt ELSE translate(v.alt, 'ACGT', 'TGCA') END AS new, t.tx_idx, t.strand, t.start, t.unit, n,
+ t.start + 2 * n * t.unit AS x, CASE WHEN t.strand > 0 THEN CAST(floor(t.unit / 2) AS BIGINT) ELSE t.unit - 1 - CAST(floor(t.unit / 2) AS BIGINT) END AS cfirst,
+ t.start + CAST(floor(t.unit / 2) AS BIGINT) AS cs, t.start + 6 * t.unit + CAST(floor(t.unit / 2) AS BIGINT) AS ce
+ FROM substitutions v JOIN transcripts t ON t.chrom = v.chrom AND v.pos BETWEEN t.start AND t.end_pos, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ns WHERE t.coding),
+y AS (SELECT *, CASE WHEN strand > 0 THEN n * unit + p - x ELSE (3 - n) * unit + (x + unit - 1) - p END - cfirst AS idx FROM x WHERE p BETWEEN x AND x + unit - 1 AND p BETWEEN cs AND ce),
+z AS (SELECT *, CAST(floor(idx / 3) AS BIGINT) AS codon, idx % 3 AS within_ FROM y),
+w AS (SELECT *, {CODON} AS old_codon FROM z WHERE idx < 3 * unit),
+a AS (SELECT *, concat(left(old_codon, CAST(within_ AS INT)), new, substr(old_codon, CAST(within_ + 2 AS INT))) AS new_codon FROM w),
+aa AS (SELECT *, {{old}} AS o, {{new}} AS n1 FROM a),
+coded AS (SELECT CASE WHEN o = n1 THEN CASE WHEN o = '*' THEN 'stop_retained_variant' WHEN codon = 0 AND old_codon = 'ATG' THEN 'start_retained_variant' ELSE 'synonymous_variant' END
+ WHEN codon = 0 AND old_codon = 'ATG' THEN 'start_lost' WHEN o = '*' THEN 'stop_lost' WHEN n1 = '*' THEN 'stop_gained' ELSE 'missense_variant' END AS term, CASE WHEN o = n1 THEN o ELSE o || '/' || n1 END AS amino_acids, codon + 1 AS protein_pos FROM aa
+ UNION ALL SELECT UNNEST(['incomplete_terminal_codon_variant', 'coding_sequence_variant']), '', codon + 1 FROM z WHERE idx >= 3 * unit)"""
+CODING_TERMS = ["stop_retained_variant", "start_retained_variant", "synonymous_variant", "start_lost", "stop_lost", "stop_gained", "missense_variant", "incomplete_terminal_codon_variant", "coding_sequence_variant"]
+
+
+@query(pj.ctes("substitutions", "transcripts") + f", {CODED.format(old=aa_sql('old_codon'), new=aa_sql('new_codon'))} SELECT term, amino_acids, CAST(count(*) AS BIGINT) AS n, CAST(sum(protein_pos) AS BIGINT) AS places FROM coded GROUP BY term, amino_acids")
+def coding_with_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coding terms, amino acids and protein positions of a substitution for every row, on transcripts whose bases are known."""
+    got = annotate.annotate(pj.substitutions(spark, sf_dir), GeneModel(pj.coded_model(spark, sf_dir)), hgvs=False)
+    each = got.select(F.explode("consequence").alias("term"), "amino_acids", "protein_pos").where(F.col("term").isin(CODING_TERMS))
+    return each.groupBy("term", "amino_acids").agg(F.count("*").alias("n"), F.sum("protein_pos").alias("places"))
 
 
 @query(pj.ctes("variants") + " SELECT flag, chrom, pos, vkey, line, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY flag, chrom ORDER BY pos, vkey, line) AS rank FROM variants) WHERE rank <= 2")
@@ -388,3 +435,84 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.groupBy("user_id", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k")).agg(F.count("*").alias("n"))
+
+
+#: A variant file: one record a row, every third with two alleles, some without quality or filter, two phased samples.
+RECORDS = f"""SELECT l_orderkey AS vkey, CAST(l_linenumber AS BIGINT) AS line, CAST(1 + l_suppkey % 22 AS VARCHAR(10)) AS chrom, 1 + (l_orderkey * 7919 + l_linenumber * 104729) % 1000000 AS pos,
+ concat('v', CAST(l_orderkey AS VARCHAR(20)), '_', CAST(l_linenumber AS VARCHAR(20))) AS id, concat({pj.pick('l_partkey')}, substr('CAGTC', 1, CAST(l_partkey % 5 AS INT))) AS ref,
+ concat({pj.pick('l_partkey + 1')}, CASE WHEN l_orderkey % 3 = 0 THEN concat(',', {pj.pick('l_partkey + 2')}, 'G') ELSE '' END) AS alt, CASE WHEN l_orderkey % 4 = 0 THEN '.' ELSE CAST(l_partkey % 60 AS VARCHAR(20)) END AS qual,
+ CASE l_orderkey % 5 WHEN 0 THEN '.' WHEN 1 THEN 'PASS' ELSE 'q10;s50' END AS filter, CASE l_orderkey % 6 WHEN 0 THEN concat('DP=3;END=', CAST(1 + (l_orderkey * 7919 + l_linenumber * 104729) % 1000000 + 77 AS VARCHAR(20))) WHEN 1 THEN 'SVTYPE=DEL;SVLEN=-40' ELSE 'AF=0.5' END AS info,
+ concat(CAST(l_orderkey % 2 AS VARCHAR(20)), '|', CAST(l_partkey % 2 AS VARCHAR(20))) AS gt1, CASE WHEN l_partkey % 7 = 0 THEN '.' ELSE concat(CAST(l_suppkey % 2 AS VARCHAR(20)), '/1') END AS gt2 FROM lineitem"""
+
+
+@query(f"""WITH v AS ({RECORDS}) SELECT chrom, pos, CAST(pos + CASE vkey % 6 WHEN 0 THEN 77 WHEN 1 THEN 40 ELSE length(ref) - 1 END AS BIGINT) AS end_pos, id, ref, replace(alt, ',', '/') AS alts, CAST(len(string_split(alt, ',')) AS BIGINT) AS n_alt,
+CAST(CASE WHEN qual = '.' THEN NULL ELSE qual END AS DOUBLE) AS qual, CASE WHEN filter = '.' THEN '' ELSE replace(filter, ';', '/') END AS filters, info, concat(gt1, ' ', gt2) AS gts FROM v""")
+def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows written as a variant file and read back."""
+    rows = pj.relation(spark, sf_dir, RECORDS, "lineitem")
+    text = rows.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info", F.lit("DP:GT"), F.concat(F.lit("9:"), "gt1"), F.concat(F.lit("7:"), "gt2")).alias("value"))
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2",)], "value string")
+    path = scratch.folder(spark, "variants")
+    head.unionByName(text).write.text(path)
+    got = vcf.read_vcf(spark, path)
+    return got.select("chrom", "pos", "end_pos", "id", "ref", F.array_join("alt", "/").alias("alts"), F.size("alt").cast("long").alias("n_alt"), "qual", F.array_join("filter", "/").alias("filters"), "info", F.array_join("gt", " ").alias("gts"))
+
+
+@query(f"""WITH v AS ({RECORDS}), g AS (SELECT id, ref, alt, pos, 'S1' AS sample_id, gt1 AS gt FROM v UNION ALL SELECT id, ref, alt, pos, 'S2', gt2 FROM v),
+h AS (SELECT *, CAST(generate_subscripts(string_split(gt, '|'), 1) AS BIGINT) AS haplotype, unnest(string_split(gt, '|')) AS allele FROM g WHERE contains(gt, '|'))
+SELECT sample_id, haplotype, pos, ref, string_split(alt, ',')[CAST(allele AS INT)] AS alt, CAST(count(*) AS BIGINT) AS n FROM h WHERE allele = '1' GROUP BY ALL""")
+def phased_from_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phased variants of the samples of a written variant file."""
+    rows = pj.relation(spark, sf_dir, RECORDS, "lineitem")
+    text = rows.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info", F.lit("GT"), "gt1", "gt2").alias("value"))
+    head = spark.createDataFrame([("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2",)], "value string")
+    path = scratch.folder(spark, "phased")
+    head.unionByName(text).write.text(path)
+    got = vcf.phased_variants(vcf.read_vcf(spark, path), vcf.vcf_samples(spark, path))
+    return got.groupBy("sample_id", F.col("haplotype").cast("long").alias("haplotype"), "pos", "ref", "alt").agg(F.count("*").alias("n"))
+
+
+@query(pj.ctes("transcripts") + """ SELECT transcript_id, chrom, start, end_pos, strand, gene_id AS gene_symbol, concat('G', CAST(tx_idx AS VARCHAR(20))) AS gene_id, biotype, tx_idx % 2 = 0 AS canonical, coding, CAST(4 AS BIGINT) AS n_exons,
+CAST(4 * unit AS BIGINT) AS exon_bases, CASE WHEN coding THEN start + CAST(floor(unit / 2) AS BIGINT) ELSE 0 END AS cds_start, CASE WHEN coding THEN start + 6 * unit + CAST(floor(unit / 2) AS BIGINT) ELSE 0 END AS cds_end,
+CAST(row_number() OVER (ORDER BY chrom, start, transcript_id) - 1 AS BIGINT) AS ordinal FROM transcripts""")
+def gff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gene model written as GFF3, read, saved as a cache and loaded from that."""
+    tx = pj.with_exons(pj.transcripts(spark, sf_dir))
+    sign = F.when(F.col("strand") > 0, "+").otherwise("-")
+    row = lambda kind, lo, hi, what: F.concat_ws("\t", "chrom", F.lit("made"), F.lit(kind), lo.cast("string"), hi.cast("string"), F.lit("."), sign, F.lit("0"), what)
+    index = F.col("tx_idx").cast("string")
+    gene = row("gene", F.col("start"), F.col("end_pos"), F.concat(F.lit("ID=gene:G"), index, F.lit(";Name="), "gene_id"))
+    mrna = row("mRNA", F.col("start"), F.col("end_pos"), F.concat(F.lit("ID=transcript:"), "transcript_id", F.lit(";Parent=gene:G"), index, F.lit(";biotype="), "biotype", F.when(F.col("tx_idx") % 2 == 0, ";tag=basic,Ensembl_canonical").otherwise("")))
+    exons = F.transform("exons", lambda x: row("exon", x["start"], x["end"], F.concat(F.lit("Parent=transcript:"), "transcript_id")))
+    inside = F.transform("exons", lambda x: F.struct(F.greatest(x["start"], "cds_start").alias("start"), F.least(x["end"], "cds_end").alias("end")))
+    cds = F.transform(F.filter(inside, lambda x: x["start"] <= x["end"]), lambda x: row("CDS", x["start"], x["end"], F.concat(F.lit("ID=CDS:P"), index, F.lit(";Parent=transcript:"), "transcript_id")))
+    coding = F.when(F.col("coding"), cds).otherwise(F.array().cast("array<string>"))
+    path = scratch.folder(spark, "genes")
+    tx.select(F.explode(F.concat(F.array(gene, mrna), exons, coding)).alias("value")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
+    model = GeneModel.load(spark, path, cache=scratch.folder(spark, "cache"))
+    bases = F.aggregate("exons", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"] + 1)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return model.table.select("transcript_id", "chrom", "start", "end_pos", "strand", "gene_symbol", "gene_id", "biotype", "canonical", "coding", F.size("exons").cast("long").alias("n_exons"), bases.alias("exon_bases"), zero("cds_start"), zero("cds_end"), F.col("tx_idx").cast("long").alias("ordinal"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS name, round(c_acctbal, 2) AS bal FROM customer)
+SELECT what, CAST(count(*) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS keys, round(sum(bal), 2) AS total, max(name) AS last FROM c, (SELECT unnest(['csv', 'dump', 'json', 'literal', 'parquet', 'table']) AS what) GROUP BY what""")
+def table_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table written and read as CSV, as a dump with declared columns, as JSON lines, as Parquet, as literal rows, and as a saved table."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("bal"))
+    path = {kind: scratch.folder(spark, kind) for kind in ("csv", "dump", "ddl", "json", "parquet")}
+    tables.write(c, path["csv"], "csv")
+    tables.write(c, path["dump"], "csv", sep="\t", header=False)
+    tables.write(c, path["json"], "json")
+    tables.write(c, path["parquet"])
+    spark.createDataFrame([("CREATE TABLE `c` (\n  `k` bigint(20) NOT NULL,\n  `name` varchar(40),\n  `bal` double,\n  PRIMARY KEY (`k`)\n) ENGINE=MyISAM;",)], "value string").coalesce(1).write.text(path["ddl"])
+    schema = "k long, name string, bal double"
+    frames = {
+        "csv": spark.read.csv(path["csv"], header=True, schema=schema), "dump": tables.read_dump_with_ddl(spark, path["dump"], path["ddl"], "c"), "json": tables.read_ndjson(spark, path["json"], schema),
+        "parquet": spark.read.parquet(path["parquet"]), "table": tables.save_table(c, "loomvar_round_trip"), "literal": tables.values(spark, [tuple(r) for r in c.collect()], schema),  # literal rows come from the caller; a small dimension here
+    }
+    whole = None
+    for what, df in frames.items():
+        part = df.select(F.lit(what).alias("what"), F.col("k").cast("long").alias("k"), "name", F.col("bal").cast("double").alias("bal"))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.groupBy("what").agg(F.count("*").alias("n"), F.sum("k").alias("keys"), F.round(F.sum("bal"), 2).alias("total"), F.max("name").alias("last"))

@@ -27,7 +27,7 @@ FROM lineitem"""
 TRANSCRIPTS = """
 SELECT p_partkey AS tx_idx, concat('T', CAST(p_partkey AS VARCHAR(20))) AS transcript_id, CAST(1 + p_partkey % 22 AS VARCHAR(10)) AS chrom,
        1 + (p_partkey * 6151) % 1000000 AS start, 1 + (p_partkey * 6151) % 1000000 + 1000 + p_size * 200 AS end_pos,
-       CAST(1 - 2 * (p_partkey % 2) AS BIGINT) AS strand, p_brand AS gene_id, p_type AS biotype, p_partkey % 3 <> 0 AS coding,
+       CAST(1 - 2 * (p_partkey % 2) AS BIGINT) AS strand, p_brand AS gene_id, CASE WHEN p_partkey % 7 = 0 THEN 'nonsense_mediated_decay' ELSE p_type END AS biotype, p_partkey % 3 <> 0 AS coding,
        CAST((1000 + p_size * 200 - (1000 + p_size * 200) % 8) / 8 AS BIGINT) AS unit
 FROM part"""
 
@@ -42,6 +42,10 @@ SELECT CAST(1 + o_custkey % 22 AS VARCHAR(10)) AS chrom, 1 + (o_orderkey * 4001)
 FROM orders"""
 
 
+def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, SUBSTITUTIONS, "lineitem")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a file of one row group is one task, and what is exploded or joined from it would stay there."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -77,12 +81,38 @@ def with_exons(tx: DataFrame) -> DataFrame:
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection with all columns of a gene model; there is no reference sequence."""
-    tx = with_exons(transcripts(spark, sf_dir)).drop("unit")
-    extra = {"version": F.lit(None).cast("int"), "gene_symbol": F.lit(""), "canonical": F.lit(False), "spliced": F.lit(None).cast("string"), "protein_id": F.lit(None).cast("string"), "protein_version": F.lit(None).cast("int"), "cds_phase": F.lit(0), "flags": F.array().cast("array<string>"), "tsl": F.lit(None).cast("long"), "appris": F.lit("")}
-    return tx.withColumns(extra)
+    return with_exons(transcripts(spark, sf_dir)).drop("unit").withColumns(extra())
+
+
+def extra() -> dict:
+    """What the driver's tables have no counterpart of."""
+    return {"version": F.lit(None).cast("int"), "gene_symbol": F.lit(""), "canonical": F.lit(False), "spliced": F.lit(None).cast("string"), "protein_id": F.lit(None).cast("string"), "protein_version": F.lit(None).cast("int"), "cds_phase": F.lit(0), "flags": F.array().cast("array<string>"), "tsl": F.lit(None).cast("long"), "appris": F.lit("")}
+
+
+#: Substitutions of single bases, one for every row.
+SUBSTITUTIONS = f"""
+SELECT CAST(1 + l_suppkey % 22 AS VARCHAR(10)) AS chrom, 1 + (l_orderkey * 7919 + l_linenumber * 104729) % 1000000 AS pos, 1 + (l_orderkey * 7919 + l_linenumber * 104729) % 1000000 AS end_pos,
+       {pick('l_partkey')} AS ref, {pick('l_partkey + 1 + l_orderkey % 3')} AS alt, l_orderkey AS vkey, CAST(l_linenumber AS BIGINT) AS line
+FROM lineitem"""
+
+
+def base(tx: str, offset: str, first: str, unit: str) -> str:
+    """Base of transcript `tx` at the spliced place `offset` (from 0, in its direction); coding bases start at `first`. Some
+    transcripts begin with ATG, some have a stop in the middle."""
+    return f"""CASE WHEN {tx} % 3 <> 0 AND {offset} BETWEEN {first} AND {first} + 2 THEN substr('ATG', CAST({offset} - {first} + 1 AS INT), 1)
+ WHEN {tx} % 4 = 1 AND {offset} BETWEEN {first} + 30 AND {first} + 32 THEN substr('TAA', CAST({offset} - {first} - 29 AS INT), 1)
+ ELSE {pick(f'{tx} + {offset} * 5 + ({offset} % 11) * ({offset} % 7) + ({offset} % 13) * {tx}')} END"""
+
+
+def coded_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gene model with bases, by the same arithmetic."""
+    tx = transcripts(spark, sf_dir).withColumn("first_", F.expr("CASE WHEN strand > 0 THEN floor(unit / 2) ELSE unit - 1 - floor(unit / 2) END"))
+    tx = tx.withColumn("spliced", F.when(F.col("coding"), F.expr(f"array_join(transform(sequence(0L, 4 * unit - 1), o -> {base('tx_idx', 'o', 'first_', 'unit')}), '')")))
+    full = with_exons(tx).drop("unit", "first_")
+    return full.withColumns({c: x for c, x in extra().items() if c != "spliced"})
 
 
 def ctes(*names: str) -> str:
     """WITH text that defines the relations of these names for DuckDB."""
-    own = {"variants": VARIANTS, "transcripts": TRANSCRIPTS, "exons": EXONS, "regions": REGIONS}
+    own = {"variants": VARIANTS, "substitutions": SUBSTITUTIONS, "transcripts": TRANSCRIPTS, "exons": EXONS, "regions": REGIONS}
     return "WITH " + ", ".join(f"{n} AS ({own[n].replace('CAST(unit / 2 AS BIGINT)', 'CAST(floor(unit / 2) AS BIGINT)')})" for n in names)

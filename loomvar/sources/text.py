@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
 def head(spark: SparkSession, path: str, n: int = 4) -> bytes:
-    """The first bytes of a file, read through Spark's file system layer."""
+    """The first bytes of a file, read through Spark's file system layer; none of a folder."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    with_conf = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = with_conf.open(where)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(where).isDirectory():
+        return b""
+    stream = fs.open(where)
     try:
         got = [stream.read() for _ in range(n)]
         return bytes(b for b in got if b >= 0)
@@ -29,15 +33,16 @@ def modified(spark: SparkSession, path: str) -> int | None:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """One column `value`. Files with gzip content and another ending than .gz are unpacked as a stream by one task each."""
+    """One column `value`, of a file or of the files in a folder. A file with gzip content and another ending than .gz is
+    unpacked as a stream by one task."""
     if path.endswith(".gz") or head(spark, path, 2) != b"\x1f\x8b":
         return spark.read.text(path)
 
     def unpack(frames):
         for frame in frames:
             for content in frame["content"]:
-                rows = gzip.decompress(content).decode("utf-8", "replace").splitlines()
-                for k in range(0, len(rows), 10_000):
-                    yield pd.DataFrame({"value": rows[k : k + 10_000]})
+                with io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(content)), "utf-8", "replace", newline="\n") as stream:
+                    while rows := [x.rstrip("\r\n") for x in itertools.islice(stream, 10_000)]:
+                        yield pd.DataFrame({"value": rows})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
