@@ -253,11 +253,10 @@ class FingerprintLog:
         self.compactions = 0
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Append a batch of keyed documents. FOUND rows: by document (of the batch or of history) the blocks of anchors that
+        """Append a batch of keyed documents. A stored table of FOUND columns: by document (of the batch or of history) the blocks of anchors that
         the batch has and that occur twice or more, occurrences of hot anchors as they are, and verdicts on hot anchors."""
         buckets, compact = self.buckets, len(self.runs) >= self.fan_in
         new = stored(anchor_runs(docs, self.width, buckets), "run")
-        self.tables.append(new)
         all_ = new.withColumn("new", F.lit(True))
         for old in self.runs:
             all_ = all_.unionByName(old.where("planes is not null").withColumn("new", F.lit(False)), allowMissingColumns=True)
@@ -280,17 +279,20 @@ class FingerprintLog:
 
         tasks = min(buckets, 4 * max(partitions(self.spark), 8))
         dealt = all_.repartitionById(tasks, F.col("bucket") % tasks)
-        merged = stored((dealt if tasks == buckets else dealt.sortWithinPartitions("bucket")).mapInArrow(run, FOUND), "found")
-        self.tables.append(merged)
+        merged = stored((dealt if tasks == buckets else dealt.sortWithinPartitions("bucket")).mapInArrow(run, FOUND), "merged")
+        found = stored(merged.where("bucket is null").select(*FOUND_COLUMNS), "found")
         if compact:
-            self.runs = [merged.where("bucket is not null").select(*RUN_COLUMNS)]
+            forget(new, *self.tables)
+            self.runs, self.tables = [merged.where("bucket is not null").select(*RUN_COLUMNS)], [merged]
             self.compactions += 1
         else:
+            forget(merged)
             self.runs.append(new)
-        return merged.where("bucket is null").select(*FOUND_COLUMNS)
+            self.tables.append(new)
+        return found
 
     def forget(self) -> None:
-        """Delete the log's tables."""
+        """Delete the log's runs."""
         forget(*self.tables)
         self.runs, self.tables = [], []
 
@@ -309,10 +311,11 @@ PASS = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string
 def cut_texts(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, k1, k2, n_words, n_removed, kept (the words left, joined by one space) of every document."""
     log = FingerprintLog(docs.sparkSession, width, max(8, docs.count() // DOCS_PER_BUCKET), fan_in)
-    found = None
-    for k in range(batches):
-        part = log.add(keyed(docs).where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k))
-        found = part if found is None else found.unionByName(part)
+    tables = [log.add(keyed(docs).where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k)) for k in range(batches)]
+    log.forget()
+    found = tables[0]
+    for part in tables[1:]:
+        found = found.unionByName(part)
     verdicts = stored(gathered(found.where("anchor is not null and mixed is not null").groupBy("anchor").agg(F.max("mixed").alias("told"))), "verdicts")
     loose = found.where("anchor is not null and mixed is null").select("anchor", "k1", "k2", "at", "upto").join(verdicts, "anchor")
     loose = loose.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "upto", "told")).alias("loose"))
@@ -345,8 +348,7 @@ def cut_texts(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fan_i
     both = keyed(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "hits", "loose")
     # row: a short name for a document in the exchange of windows, fixed by the table
     passed = stored(both.mapInArrow(split_pass, PASS).withColumn("row", F.monotonically_increasing_id()), "split")
-    log.forget()
-    forget(verdicts)
+    forget(verdicts, *tables)
     final = ["doc_id", "k1", "k2", "n_words", "n_removed", "kept"]
     ready = passed.where("at is null").select(*final)
     open_ = passed.where("at is not null")
