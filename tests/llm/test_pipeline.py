@@ -59,6 +59,31 @@ def test_run(spark, planted):
     assert over.where("n > 2048 or n <> end").count() == 0 and 290 <= got.select("doc_id").distinct().count() <= 301
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and extra columns with the names used inside; then nothing at all."""
+    r = random.Random(5)
+    long = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40_000))
+    rows = [(1, "some plain words of a text that stays here", "en", "s", 9), (1, "some plain words of a text that stays here", "en", "s", 9), (None, "a text without an id and of its own words", None, None, None), (2, None, "en", "s", None), (3, "", "en", None, 0), (4, "   ", None, "s", 3), (5, long, "en", "s", len(long)), (6, "short", "en", "s", 5)]
+    extra = ["sid", "label", "spans", "items", "words", "found", "row_id", "length", "score", "keep", "text_hash"]
+    path = str(tmp_path)
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(1))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs, sizes = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, path), "odd")
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and set(extra) < set(docs.columns), name
+        sizes.append(docs.count())
+    assert sizes == [8, 7, 7, 7] and {x.text for x in docs.collect()} == {x[1] for x in rows}
+    pieces = corpus_pipeline.packed(spark, docs, path).collect()
+    assert len({x.doc_id for x in pieces}) == 7 and sum(x.length for x in pieces if x.doc_id in (2, 3)) == 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_registered(spark, name):
