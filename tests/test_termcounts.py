@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomvar.operators import annotate
+from loomvar.operators import annotate, codoncounts
 from loomvar.sources.model import GeneModel
 
 VARIANTS = "chrom string, pos long, end_pos long, ref string, alt string"
@@ -40,7 +40,7 @@ def transcripts(spark, known: bool):
         spliced = bases(r, sum(b - a + 1 for a, b in exons)) if known and coding and k % 5 else None
         inside = (exons[0][0] + r.choice((0, 1)), exons[-1][1] - r.choice((0, 1))) if coding else (None, None)
         if spliced and k % 3 == 0:
-            at = r.choice((0, 1))
+            at = inside[0] - exons[0][0] if one > 0 else exons[-1][1] - inside[1]
             spliced = spliced[:at] + "ATG" + spliced[at + 3 :] if len(spliced) > 9 else spliced
         rows.append((k, f"T{k}", r.choice("12"), exons[0][0], exons[-1][1], one, coding, exons, *inside, r.choice(("a", "nonsense_mediated_decay")), f"G{k}", "", False, None, spliced, "P", 1, k % 17 == 3 and 1 or 0, ["cds_start_NF"] if k % 13 == 5 else []))
     rows.append((999, "T999", "1", 100, 9_000, 1, False, [], None, None, "a", "G", "", False, None, None, None, None, 0, []))
@@ -66,6 +66,22 @@ def test_term_counts_make_no_pairs(spark, variants):
     assert "Join" not in annotate.term_counts(snv, plain)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_coding_counts(spark, variants):
+    model = transcripts(spark, True)
+    near = F.explode(F.concat(F.sequence("start", F.col("start") + 5), F.sequence(F.col("end_pos") - 5, "end_pos")))
+    ends = model.table.select("chrom", near.alias("pos")).select("chrom", "pos", F.col("pos").alias("end_pos"), F.lit("N").alias("ref"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("alt"))
+    variants = variants.unionByName(ends)
+    rows = [r for r in annotate.annotate(variants, model, hgvs=False).collect()]
+    want = {}
+    for r in rows:
+        for t in set(r.consequence) & set(annotate.CODING_TERMS):
+            n, places = want.get((t, r.amino_acids), (0, None))
+            want[t, r.amino_acids] = n + 1, places if r.protein_pos is None else (places or 0) + r.protein_pos
+    assert {(r.term, r.amino_acids): (r.n, r.places) for r in annotate.coding_counts(variants, model).collect()} == want
+    assert {t for t, _ in want} >= {"missense_variant", "synonymous_variant", "stop_gained", "stop_lost", "start_lost", "incomplete_terminal_codon_variant"}
+    assert "Join" not in codoncounts.effect_counts(annotate.prepared(variants).where(codoncounts.single()), model.table.where(codoncounts.readable()))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty(spark, variants):
     model = transcripts(spark, False)
     assert not annotate.term_counts(variants.limit(0), model).count() and not annotate.term_counts(variants, GeneModel(model.table.limit(0))).count()
