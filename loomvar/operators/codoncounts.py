@@ -28,15 +28,20 @@ def single() -> Column:
     return F.coalesce(F.col("kind").isNull() & alike, F.lit(False))
 
 
-def readable() -> Column:
-    """Whether a coding transcript's bases are known, whole and of ACGT, read in frame by the standard code, without short introns."""
-    gaps, ordered = native.introns(F.col("exons")), F.array_sort("exons")
+def whole_exons() -> Column:
+    """Whether a coding transcript's exons lie within it, apart and in no short introns, and both ends of its coding bases in them."""
+    ordered = F.array_sort("exons")
     within = lambda c: F.exists("exons", lambda x: (x["start"] <= F.col(c)) & (F.col(c) <= x["end"]))
-    apart = F.size(F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: a["end"] >= b["start"]), lambda x: x)) == 0
+    close = F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: a["end"] + 1 >= b["start"]), lambda x: x)
+    placed = (F.col("cds_start") <= F.col("cds_end")) & within("cds_start") & within("cds_end") & (F.col("start") <= F.array_min(F.transform("exons", lambda x: x["start"]))) & (F.col("end_pos") >= F.array_max(F.transform("exons", lambda x: x["end"])))
+    return F.coalesce(F.col("coding") & placed & (F.col("strand") != 0) & (F.size(close) == 0) & ~native.has_short(native.introns(F.col("exons"))), F.lit(False))
+
+
+def readable() -> Column:
+    """Whether a coding transcript's bases are known, whole and of ACGT, read in frame by the standard code."""
     bases = F.aggregate("exons", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"] + 1)
     frame = (F.coalesce("cds_phase", F.lit(0)) == 0) & (F.coalesce(F.size("flags"), F.lit(0)) <= 0) & ~F.col("chrom").isin("M", "MT", "chrM", "chrMT")
-    placed = F.col("coding") & (F.col("cds_start") <= F.col("cds_end")) & within("cds_start") & within("cds_end") & (F.col("start") <= F.array_min(F.transform("exons", lambda x: x["start"]))) & (F.col("end_pos") >= F.array_max(F.transform("exons", lambda x: x["end"])))
-    return F.coalesce(placed & (F.col("strand") != 0) & frame & apart & ~native.has_short(gaps) & (F.length("spliced") == bases) & F.col("spliced").rlike("^[ACGT]*$"), F.lit(False))
+    return F.coalesce(whole_exons() & frame & (F.length("spliced") == bases) & F.col("spliced").rlike("^[ACGT]*$"), F.lit(False))
 
 
 @functools.cache
