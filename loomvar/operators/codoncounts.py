@@ -60,6 +60,23 @@ def effects() -> tuple[np.ndarray, list[tuple[str, str]]]:
     return of, list(results)
 
 
+def segments(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """(transcript, first, last, coding bases before) of the coding stretches in ascending order, and each transcript's coding bases."""
+    cs, ce = whole(t, "cds_start"), whole(t, "cds_end")
+    exons = t.column("exons").combine_chunks()
+    of = np.repeat(np.arange(t.num_rows), exons.value_lengths().fill_null(0).to_numpy())
+    x, y = (exons.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    x, y = np.maximum(x, cs[of]), np.minimum(y, ce[of])
+    some = x <= y
+    of, x, y = of[some], x[some], y[some]
+    order = np.lexsort((x, of))
+    of, x, y = of[order], x[order], y[order]
+    done = np.concatenate(([0], np.cumsum(y - x + 1)))
+    total = np.bincount(of, y - x + 1, t.num_rows).astype(np.int64)
+    first = done[np.searchsorted(of, np.arange(t.num_rows))]  # coding bases of the transcripts before
+    return of, x, y, done[:-1] - first[of], total
+
+
 def effect_counts(variants: DataFrame, transcripts: DataFrame) -> DataFrame:
     """term, amino_acids, n and places (the sum of protein positions) of the substitutions on coding bases."""
     schema = pa.schema([("term", pa.string()), ("amino_acids", pa.string()), ("n", pa.int64()), ("places", pa.int64())])
@@ -68,19 +85,8 @@ def effect_counts(variants: DataFrame, transcripts: DataFrame) -> DataFrame:
     def count(chrom: str, v: dict[str, np.ndarray], t: pa.Table) -> pa.RecordBatch:
         order = np.argsort(v["pos"], kind="stable")
         pos, alt, times = v["pos"][order], (v["alt"] - v["pos"])[order], v["n"][order]
-        cs, ce, forward = whole(t, "cds_start"), whole(t, "cds_end"), whole(t, "strand") > 0
-        exons = t.column("exons").combine_chunks()
-        of = np.repeat(np.arange(t.num_rows), exons.value_lengths().to_numpy())
-        x, y = (exons.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        x, y = np.maximum(x, cs[of]), np.minimum(y, ce[of])
-        some = x <= y
-        of, x, y = of[some], x[some], y[some]
-        order = np.lexsort((x, of))
-        of, x, y = of[order], x[order], y[order]
-        done = np.concatenate(([0], np.cumsum(y - x + 1)))
-        total = np.bincount(of, y - x + 1, t.num_rows).astype(np.int64)
-        first = done[np.searchsorted(of, np.arange(t.num_rows))]  # coding bases of the transcripts before
-        before = done[:-1] - first[of]
+        forward = whole(t, "strand") > 0
+        of, x, y, before, total = segments(t)
         # two bases a byte, each transcript's from a new byte on
         packed = t.column("cds").combine_chunks()
         raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
