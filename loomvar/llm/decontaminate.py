@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import sliced, stored
+from loomvar.llm.common import sliced, stored, tidy
 
 WINDOW, LITERALS = 8, 5
 COVER, RUN = 0.5, 6
@@ -174,7 +174,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = bench.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(run, "item_id long, n_windows long, n_strong long, kind int, item_pos long, size int, template long, hash long, item_slots string, words array<long>")
+    return rows.mapInArrow(tidy(run), "item_id long, n_windows long, n_strong long, kind int, item_pos long, size int, template long, hash long, item_slots string, words array<long>")
 
 
 def candidates(docs: DataFrame, hashes: np.ndarray | None, templates: list[np.ndarray], vocabulary: frozenset[int] | None, sizes: list[list[int]]) -> DataFrame:
@@ -229,7 +229,7 @@ def candidates(docs: DataFrame, hashes: np.ndarray | None, templates: list[np.nd
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, found_type)], names=["doc_id", "text_hash", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, found array<struct<hash:long,pos:long,slots:string>>").withColumn("row_id", F.monotonically_increasing_id())
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, found array<struct<hash:long,pos:long,slots:string>>").withColumn("row_id", F.monotonically_increasing_id())
 
 
 def fitting(pairs: Iterator[tuple[str, str]]) -> Iterator[tuple[bool, bool]]:
@@ -284,7 +284,7 @@ def fit_slots(runs: DataFrame) -> DataFrame:
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], schema=schema)
 
-    return runs.select("row_id", "item_id", "of", "of_strong", "matches").mapInArrow(run, FIT)
+    return runs.select("row_id", "item_id", "of", "of_strong", "matches").mapInArrow(tidy(run), FIT)
 
 
 def judge(docs: DataFrame, bench: DataFrame) -> DataFrame:

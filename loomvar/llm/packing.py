@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import sliced, stored
+from loomvar.llm.common import few_rows, sliced, stored, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
                     crc.append(zlib.crc32(ids[s : s + n].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 class Plan:
@@ -195,7 +195,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     counts = {int(r["length"]): int(r["n"]) for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     salts = max(16, sum(counts.values()) // rows_per_salt)
     plan_rows = Plan(counts, capacity).rows()
-    plan = spark.createDataFrame(plan_rows or [(0, 0, 0, 0, 1, 0)], "length long, r0 long, r1 long, seq0 long, k long, off0 long")
+    names = ("length", "r0", "r1", "seq0", "k", "off0")
+    plan = few_rows(spark, dict(zip(names, map(list, zip(*(plan_rows or [(0, 0, 0, 0, 1, 0)]))))), ", ".join(f"{n} long" for n in names))
 
     salted = cutted.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

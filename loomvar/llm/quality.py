@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvar.llm.common import forget, sliced, stored
+from loomvar.llm.common import BATCH_ROWS, few_rows, forget, give_back, sliced, stored, tidy
 
 MAX_LABELLED, MAX_WORDS = 6_000, 2_000
 ROUNDS, QUOTA, PSEUDO_WEIGHT = 3, 100, 0.3
@@ -202,7 +202,7 @@ def featured(docs: DataFrame, features: Features) -> DataFrame:
             rows = [features.of(t.as_py() or "", *m) for t, *m in zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], schema=FEATURES_SCHEMA)
 
-    return docs.mapInArrow(run, FEATURES)
+    return docs.mapInArrow(tidy(run), FEATURES)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[Features, list[tuple], np.ndarray, np.ndarray, list[int]]:
@@ -210,7 +210,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[Features, list[
     spark = docs.sparkSession
     told = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("chosen_id")).agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
     ids = [(r["chosen_id"], r["good"]) for r in told.orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(MAX_LABELLED).collect()]
-    chosen = spark.createDataFrame([(i, good, k % HOLD == HOLD - 1) for k, (i, good) in enumerate(ids)], "chosen_id long, good int, hold boolean")  # MAX_LABELLED rows at most
+    chosen = few_rows(spark, {"chosen_id": [i for i, _ in ids], "good": [good for _, good in ids], "hold": [k % HOLD == HOLD - 1 for k in range(len(ids))]}, "chosen_id long, good int, hold boolean")  # MAX_LABELLED rows at most
     picked = plain(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
     picked = stored(picked.dropDuplicates(["chosen_id"]).select("doc_id", "text_hash", "text", "lang", "source", "n_chars", "good", "hold"), "quality-labelled")
 
@@ -223,7 +223,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[Features, list[
     train = picked.where("not hold")
     sizes = train.agg(F.count("*").alias("n"), F.sum("good").alias("good")).first()
     n, bad = sizes["n"], sizes["n"] - (sizes["good"] or 0)
-    each = train.select("text", "lang", "source", "n_chars", "good").mapInArrow(listed, "words array<string>, metas array<string>, good int")
+    each = train.select("text", "lang", "source", "n_chars", "good").mapInArrow(tidy(listed), "words array<string>, metas array<string>, good int")
     k, d = F.col("k"), F.col("b") * float(n) - F.col("k") * float(bad)
     chi2 = d * d * float(n) / (k * (float(n) - k) * float(max(bad * (n - bad), 1)))
     counted = each.select(F.explode("words").alias("word"), "good").groupBy("word").agg(F.count("*").cast("double").alias("k"), F.sum(1 - F.col("good")).cast("double").alias("b"))
@@ -281,7 +281,7 @@ def most_confident(table: DataFrame, model: Model, sample: frozenset[int]) -> li
             held = {k: best(v) for k, v in held.items()}
         yield reduced(held)
 
-    some = table.mapInArrow(score, CONFIDENT).repartition(8).mapInArrow(again, CONFIDENT).collect()  # 8 * 4 * QUOTA rows at most
+    some = table.mapInArrow(tidy(score), CONFIDENT).repartition(8).mapInArrow(tidy(again), CONFIDENT).collect()  # 8 * 4 * QUOTA rows at most
     held: dict[tuple[int, int], list[tuple]] = {}
     for r in some:
         held.setdefault((r["teacher"], r["side"]), []).append(tuple(r))
@@ -319,7 +319,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p_text, p_meta, both = model.score(list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p_text), pa.array(p_meta), pa.array(both), pa.array(both >= REJECT_BELOW)], names=["doc_id", "text_hash", "p_text", "p_meta", "score", "keep"])
 
-    return table.mapInArrow(run, SCHEMA)
+    return table.mapInArrow(tidy(run), SCHEMA)
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,12 +327,15 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, table = trained(docs, labels)
     forget(table)
 
-    @F.pandas_udf("boolean")
-    def accepts(text, lang, source, n):
-        import pandas as pd
-
-        clean = lambda x: None if pd.isna(x) else x
-        rows = [model.features.of(clean(t) or "", clean(a), clean(b), None if pd.isna(c) else int(c)) for t, a, b, c in zip(text, lang, source, n)]
-        return pd.Series(model.score(rows)[2] >= REJECT_BELOW, dtype=bool)
+    @F.arrow_udf("boolean")
+    def accepts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, *metas in batches:
+            keep = []
+            for k in range(0, len(text), BATCH_ROWS):
+                side = zip(*(m.slice(k, BATCH_ROWS).to_pylist() for m in metas))
+                rows = [model.features.of(t.as_py() or "", *m) for t, m in zip(text.slice(k, BATCH_ROWS), side)]
+                keep.append(np.asarray(model.score(rows)[2]) >= REJECT_BELOW)
+            yield pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
+        give_back()
 
     return docs.where(accepts(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")))
