@@ -7,7 +7,8 @@ are indexed (about one in fourteen words). The windows of one anchor form a bloc
 The log (`FingerprintLog`): every batch of documents leaves one immutable run of its anchors and their blocks, packed and
 sorted by anchor within buckets. A new batch's run is merge-joined with the runs of history, bucket by bucket: an anchor that
 occurs again, in the batch or in history, reports all its occurrences, so that documents of earlier batches are marked too.
-When there are more than FAN_IN runs, the same merge writes them as one (compaction). If all occurrences of an anchor have one
+When there are more than FAN_IN runs, the same merge writes them as one (compaction). Of the last batch, if it is known to be
+the last, nothing is written but what it finds. If all occurrences of an anchor have one
 block hash, all windows of its blocks are repeated. Otherwise they are verified window by window: their hashes (of 64 and of
 32 bit) are counted, with partial aggregation, and those that occur twice or more mark their words.
 
@@ -244,19 +245,25 @@ def unpacked(r: dict) -> tuple:
 
 
 class FingerprintLog:
-    """Sorted immutable runs of the anchors of all documents so far, in the shared folder."""
+    """Sorted immutable runs of the anchors of all documents so far, in the shared folder. batches: how many will come, if that
+    is known; no run is written of the last."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int = 8, fan_in: int = FAN_IN):
-        self.spark, self.width, self.buckets, self.fan_in = spark, width, buckets, fan_in
+    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int = 8, fan_in: int = FAN_IN, batches: int | None = None):
+        self.spark, self.width, self.buckets, self.fan_in, self.batches = spark, width, buckets, fan_in, batches
         self.runs: list[DataFrame] = []
         self.tables: list[DataFrame] = []
-        self.compactions = 0
+        self.added = self.compactions = 0
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Append a batch of keyed documents. A stored table of FOUND columns: by document (of the batch or of history) the blocks of anchors that
         the batch has and that occur twice or more, occurrences of hot anchors as they are, and verdicts on hot anchors."""
-        buckets, compact = self.buckets, len(self.runs) >= self.fan_in
-        new = stored(anchor_runs(docs, self.width, buckets), "run")
+        self.added += 1
+        last = self.added == self.batches
+        buckets, compact = self.buckets, len(self.runs) >= self.fan_in and not last
+        new = anchor_runs(docs, self.width, buckets)
+        if not compact and not last:  # else it is read this once
+            new = stored(new, "run")
+            self.tables.append(new)
         all_ = new.withColumn("new", F.lit(True))
         for old in self.runs:
             all_ = all_.unionByName(old.where("planes is not null").withColumn("new", F.lit(False)), allowMissingColumns=True)
@@ -279,16 +286,16 @@ class FingerprintLog:
 
         tasks = min(buckets, 4 * max(partitions(self.spark), 8))
         dealt = all_.repartitionById(tasks, F.col("bucket") % tasks)
-        merged = stored((dealt if tasks == buckets else dealt.sortWithinPartitions("bucket")).mapInArrow(run, FOUND), "merged")
+        merged = (dealt if tasks == buckets else dealt.sortWithinPartitions("bucket")).mapInArrow(run, FOUND)
+        if not compact:
+            found = stored(merged.select(*FOUND_COLUMNS), "found")
+            self.runs += [] if last else [new]
+            return found
+        merged = stored(merged, "merged")
         found = stored(merged.where("bucket is null").select(*FOUND_COLUMNS), "found")
-        if compact:
-            forget(new, *self.tables)
-            self.runs, self.tables = [merged.where("bucket is not null").select(*RUN_COLUMNS)], [merged]
-            self.compactions += 1
-        else:
-            forget(merged)
-            self.runs.append(new)
-            self.tables.append(new)
+        forget(*self.tables)
+        self.runs, self.tables = [merged.where("bucket is not null").select(*RUN_COLUMNS)], [merged]
+        self.compactions += 1
         return found
 
     def forget(self) -> None:
@@ -310,7 +317,7 @@ PASS = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string
 
 def cut_texts(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, k1, k2, n_words, n_removed, kept (the words left, joined by one space) of every document."""
-    log = FingerprintLog(docs.sparkSession, width, max(8, docs.count() // DOCS_PER_BUCKET), fan_in)
+    log = FingerprintLog(docs.sparkSession, width, max(8, docs.count() // DOCS_PER_BUCKET), fan_in, batches)
     tables = [log.add(keyed(docs).where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k)) for k in range(batches)]
     log.forget()
     found = tables[0]

@@ -307,6 +307,16 @@ def test_log_increments(spark):
             assert (key[1:] >= key[:-1]).all()
 
 
+def test_log_writes_what_is_read_again(spark, monkeypatch):
+    """A run is stored only for a later batch, what is found only once, and of the last batch no run is left."""
+    line, names, real = prose(40), [], substrings.stored
+    rows = [(k, prose(20) + " " + line, None, None, None) for k in range(6)]
+    monkeypatch.setattr(substrings, "stored", lambda df, name: names.append(name) or real(df, name))
+    got = substrings.digest(substrings.cut_texts(spark.createDataFrame(rows, DOCS))).collect()
+    assert sorted(tuple(r) for r in got) == sorted((k, *w) for k, w in enumerate(substrings.brute([r[1] for r in rows])))
+    assert names[: names.index("verdicts")] == ["run", "found", "merged", "found", "found"]
+
+
 def test_cut_goes_through_the_log(spark, monkeypatch):
     line = prose(40)
     df = spark.createDataFrame([(k, prose(20) + " " + line, None, None, None) for k in range(6)], DOCS)
